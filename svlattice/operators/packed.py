@@ -143,6 +143,40 @@ def sample_items(df: DataFrame, raw: str, format_raw: str, keep: list[str], keys
     )
 
 
+def info_pairs(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """df + an array of (key, val) per row, the values of an item joined by ',' and a flag's being 'true'; null for null."""
+    keep = df.columns
+    df = df.select(*keep, escape(F.col(raw)).alias("_t"))
+    df = df.select(*keep, "_t", mark(F.col("_t"), INFO_SPAN, f"$1$2$3{SPAN}$4{SPAN}", "[\"']").alias("_p"))
+    items = F.filter(F.transform(F.split(template(F.col("_t"), F.col("_p")), r"[;|\t]", -1), lambda x: F.trim(x)), lambda x: x != "")
+    df = df.select(*keep, "_p", items.alias("_i"))
+
+    def pair(x: Column) -> Column:
+        eq = F.instr(x, "=")
+        rest = F.filter(F.transform(F.split(F.substring(x, eq + 1, F.length(x)), ",", -1), lambda v: F.trim(v)), lambda v: v != "")
+        key = F.when(eq > 0, F.trim(F.substring(x, F.lit(1), eq - 1))).otherwise(x)
+        return F.struct(restore(key, F.col("_p")).alias("key"), F.when(eq == 0, "true").otherwise(restore(F.array_join(rest, ","), F.col("_p"))).alias("val"))
+
+    return df.select(*keep, F.transform("_i", pair).alias(name))
+
+
+def sample_pairs(df: DataFrame, raw: str, format_raw: str, name: str) -> DataFrame:
+    """df + an array of (key, val) per row: format keys with their sample items ('' where the sample is shorter)."""
+    keep = df.columns
+    df = df.select(*keep, escape(F.coalesce(F.col(raw), F.lit(""))).alias("_t"), escape(F.col(format_raw)).alias("_f"))
+    pieces, held, separator = format_parts(F.col("_f"))
+    df = df.select(*keep, "_t", pieces.alias("_fq"), held.alias("_fh"), F.coalesce(separator, F.lit("")).alias("_s"))
+    text = F.col("_t")
+    spans = _by_separator(F.col("_s"), lambda s: mark(text, _list_span(s, True, True), f"$1$2{SPAN}$3$4{SPAN}", "[\"'\\[\\]]"))
+    df = df.select(*keep, "_t", "_fq", "_fh", "_s", spans.alias("_p"))
+    df = df.select(*keep, "_fq", "_fh", "_s", "_p", template(F.col("_t"), F.col("_p")).alias("_h"))
+    df = df.select(*keep, "_fq", "_p", _by_separator(F.col("_s"), _cut(F.col("_h"))).alias("_c"), _by_separator(F.col("_s"), _cut(F.col("_fh"))).alias("_k"))
+    pair = lambda k, i: F.struct(
+        restore(F.trim(k), F.col("_fq")).alias("key"), restore(F.trim(F.coalesce(F.get(F.col("_c"), i), F.lit(""))), F.col("_p")).alias("val")
+    )
+    return df.select(*keep, F.when(F.col(format_raw).isNotNull(), F.transform("_k", pair)).alias(name))
+
+
 def packed_rows(caller: DataFrame, corrected: DataFrame) -> DataFrame:
     """ord, fld, item_no, item_key, val_no, val of the info and format of caller records and the sample of corrected ones."""
     info = info_items(caller, "info_raw", ["ord"]).select("ord", F.lit("info").alias("fld"), "item_no", "item_key", "val_no", "val")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svlattice.llm import bpe, encode, packing
+from svlattice.llm import bpe, encode, packing, spam
 from svlattice.session import table
 
 
@@ -32,5 +32,9 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p7_containers(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found)}
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SKETCH_K = 400
 RANKS = (0.05, 0.25, 0.5, 0.75, 0.95)
+DECIMAL = r"^\s*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
 MEASURES = ("qual", "support", "svlen")
 
 
@@ -56,7 +57,8 @@ def read_percentiles(sketches: DataFrame, by: list[str], measures: tuple[str, ..
 
 def daily_sketches(events: DataFrame, files: DataFrame, k: int = SKETCH_K) -> DataFrame:
     """caller, svtype, day + sketches of qual, support and svlen."""
-    rows = events.select("file_id", "svtype", F.to_date("loaded_at").alias("day"), *MEASURES)
+    qual = F.when(F.col("qual").rlike(DECIMAL), F.col("qual"))  # a cast alone would also take suffixes
+    rows = events.select("file_id", "svtype", F.to_date("loaded_at").alias("day"), qual.alias("qual"), "support", "svlen")
     parts = sketched(rows, ["file_id", "svtype", "day"], k=k)
     callers = files.groupBy("file_id").agg(F.max("caller").alias("caller"))
     return merged(parts.join(callers, "file_id", "left"), ["caller", "svtype", "day"])

@@ -61,7 +61,7 @@ def _fold_tra(reach: int):
             best = None
             for c in (cell - 1, cell, cell + 1):
                 for l_rank, l_ord, l_start, l_end, l_way in leaders.get(c, ()):
-                    if best is not None and l_rank > best[0]:
+                    if best is not None and (l_rank, l_ord) > best:
                         continue
                     a, b = (end, start) if frozenset((way, l_way)) in _RECIPROCAL else (start, end)
                     if abs(l_start - a) <= reach and abs(l_end - b) <= reach:

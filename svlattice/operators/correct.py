@@ -52,7 +52,8 @@ def corrected(records: DataFrame, tolerance: int = 3, limits: Limits = Limits(),
 
     by: columns that tell files apart; records pair only within them, so a table of many files is corrected at once.
     """
-    events = passing(caller_events(records), limits)
+    # breakends are few; a plain text test keeps their branches from parsing all other records
+    events = passing(caller_events(records.where(F.contains("info_raw", F.lit("SVTYPE=BND")))), limits)
     zero = F.lit(0).cast("long")
     parts = []
 
@@ -89,7 +90,7 @@ def corrected(records: DataFrame, tolerance: int = 3, limits: Limits = Limits(),
     single = roles.where("role = 'single'").select(F.lit(SINGLE).alias("branch"), "rank", "rank2", zero.alias("rank3"), F.col("first_ord").alias("ord"), none.alias("out_rtid"))
     parts.append(_as(diff, "TRA").join(rows.unionByName(single), "ord"))
 
-    parts.append(normalised(events.where(F.col("route") == "other")).withColumns({"branch": F.lit(OTHER), "rank": F.col("ord"), "rank2": zero, "rank3": zero}))
+    parts.append(normalised(passing(caller_events(records), limits).where(F.col("route") == "other")).withColumns({"branch": F.lit(OTHER), "rank": F.col("ord"), "rank2": zero, "rank3": zero}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

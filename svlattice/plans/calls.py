@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from svlattice.functions import bnd, fields
 from svlattice.operators import cluster, correct, filters, pairing, sourcesets, statistics, truth
 from svlattice.operators.events import caller_events, corrected_events
-from svlattice.session import cut_lineage, table
+from svlattice.session import cut_lineage, spread, table
 from svlattice.sinks import formats
 
 LIMITS = filters.Limits(min_qual=5, max_qual=95, min_support=3, min_depth=10, min_gq=5, min_svlen=40, max_svlen=20000, filter_pass=True, exclude_nocall=True)
@@ -17,11 +17,11 @@ TRUTH_CALLER, CALL_CALLER = "sniffles", "cutesv"
 
 
 def _corrected(spark: SparkSession, folder: str) -> DataFrame:
-    return corrected_events(table(spark, folder, "svcf_event"))
+    return corrected_events(spread(table(spark, folder, "svcf_event")))
 
 
 def _caller(spark: SparkSession, folder: str) -> DataFrame:
-    return caller_events(table(spark, folder, "sv_event"))
+    return caller_events(spread(table(spark, folder, "sv_event")))
 
 
 def resolved_coordinates(spark, folder):
@@ -86,12 +86,12 @@ def breakend_roles(spark, folder):
 
 
 def corrected_branches(spark, folder):
-    df = correct.corrected(table(spark, folder, "sv_event"), by=("file_id",))
+    df = correct.corrected(spread(table(spark, folder, "sv_event")), by=("file_id",))
     return df.select("file_id", "branch", "rank", "rank2", "rank3", "ord", "out_type", "out_end", "out_len", "out_chr2", "out_rtid")
 
 
 def corrected_lines(spark, folder):
-    df = correct.corrected(table(spark, folder, "sv_event"), by=("file_id",))
+    df = correct.corrected(spread(table(spark, folder, "sv_event")), by=("file_id",))
     files = table(spark, folder, "call_file", "file_id", "file_name")
     return correct.serialised(df.join(files, "file_id", "left"), F.col("file_name")).select("file_id", "branch", "rank", "rank2", "rank3", "line")
 

@@ -233,4 +233,16 @@ ORACLES: dict[str, str] = {
     "to_bedpe": f"""WITH {EVENTS}, w AS (SELECT *, CASE WHEN {_info("END")} IS NULL THEN pos ELSE {_int(_info("END"))} END AS be, {_info("STRAND")} AS strand FROM e) SELECT ord, concat_ws(chr(9), chrom, pos - 1, pos, coalesce({_info("CHR2")}, chrom), be - 1, be, coalesce(sv_id, '.')||'_'||svtype,
       coalesce({_info("SUPPORT")}, qual, '.'), CASE WHEN strand IN ('-+', '--') THEN '-' ELSE '+' END, CASE WHEN strand IN ('+-', '--') THEN '-' WHEN strand IN ('++', '-+') THEN '+' WHEN svtype IN ('INV', 'TRA') THEN '-' ELSE '+' END, svtype, coalesce({_info("SVLEN")}, '.')) AS line
       FROM w WHERE be IS NOT NULL AND chrom IS NOT NULL AND pos IS NOT NULL""",
+    "p3_found": """WITH r AS (SELECT line_id, file_id, regexp_replace(line, '\r$', '') AS l FROM vcf_line WHERE line IS NOT NULL), k AS (SELECT * FROM r WHERE l <> '' AND NOT starts_with(l, '#')),
+      c AS (SELECT line_id, file_id, l, len(l) - len(replace(l, '"', '')) AS quotes, string_split(regexp_replace(l, '"[^"]*"', 'Q', 'g'), chr(9)) AS cols, l AS raw FROM k),
+      j AS (SELECT line_id, CASE WHEN quotes % 2 = 1 THEN 'quote' WHEN NOT (len(cols) IN (8, 10) OR (len(cols) = 13 AND file_id IN (SELECT file_id FROM call_file WHERE lower(caller) = 'svaba'))) THEN 'columns'
+        WHEN NOT (regexp_full_match(cols[2], '[0-9]+') AND try_cast(cols[2] AS HUGEINT) BETWEEN 1 AND 9223372036854775807) THEN 'pos'
+        WHEN NOT regexp_full_match(cols[6], '\.|([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'qual'
+        WHEN NOT regexp_full_match(cols[5], '[ACGTNacgtn]+\.?|\.[ACGTNacgtn]*|<[A-Za-z0-9_:]+>|[ACGTNacgtn]+(\[[^\[\]]+:[0-9]+\[|\][^\[\]]+:[0-9]+\])|(\[[^\[\]]+:[0-9]+\[|\][^\[\]]+:[0-9]+\])[ACGTNacgtn]+') THEN 'alt' END AS reason FROM c)
+      SELECT line_id, reason FROM j WHERE reason IS NOT NULL""",
+    "p5_found": """WITH RECURSIVE n AS (SELECT ord, trim(string_split(trim(source_file), '/')[-1])||chr(1)||trim(sv_id) AS name FROM svcf_event),
+      m AS (SELECT trim(string_split(trim(a_source_file), '/')[-1])||chr(1)||trim(a_sv_id) AS a, trim(string_split(trim(b_source_file), '/')[-1])||chr(1)||trim(b_sv_id) AS b FROM sv_match
+        WHERE a_source_file IS NOT NULL AND a_sv_id IS NOT NULL AND b_source_file IS NOT NULL AND b_sv_id IS NOT NULL),
+      g AS (SELECT a, b FROM m UNION SELECT b, a FROM m), reach AS (SELECT DISTINCT name AS x, name AS y FROM n UNION SELECT r.x, g.b FROM reach r JOIN g ON g.a = r.y),
+      lowest AS (SELECT x, min(n.ord) AS group_ord FROM reach JOIN n ON n.name = y GROUP BY x) SELECT ord, coalesce(group_ord, ord) AS group_ord FROM n LEFT JOIN lowest ON x = name""",
 }

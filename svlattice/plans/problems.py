@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from svlattice.operators import drift, groups, packed, percentiles, refused
-from svlattice.session import table
+from svlattice.session import spread, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return packed.packed_rows(table(spark, folder, "sv_event"), table(spark, folder, "svcf_event"))
+    caller = table(spark, folder, "sv_event", "ord", "info_raw", "format_raw")
+    corrected = table(spark, folder, "svcf_event", "ord", "format_raw", "sample_raw")
+    return packed.packed_rows(spread(caller), spread(corrected))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.schema_changes(table(spark, folder, "sv_event", "file_id", "info_raw", "format_raw", "sample_raw"), table(spark, folder, "vcf_header"), table(spark, folder, "call_file"))
+    return drift.schema_changes(spread(table(spark, folder, "sv_event", "file_id", "info_raw", "format_raw", "sample_raw")), table(spark, folder, "vcf_header"), table(spark, folder, "call_file"))
 
 
 def p2_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.unified_records(table(spark, folder, "sv_event"), table(spark, folder, "vcf_header"), table(spark, folder, "call_file"))
+    return drift.unified_records(spread(table(spark, folder, "sv_event", "ord", "file_id", "chrom", "pos", "sv_id", "info_raw", "format_raw", "sample_raw")), table(spark, folder, "vcf_header"), table(spark, folder, "call_file"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

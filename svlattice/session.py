@@ -36,6 +36,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores (few or unsplittable files) is dealt out to all cores.
+
+    For scans that feed heavy narrow work. Large inputs have splits enough and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One parquet table of a folder, with only the named columns if any are given."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")

@@ -9,6 +9,7 @@ breakend whose ALT isn't readable.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,10 +28,9 @@ class Tolerances:
     bnd_delta: int = 50
 
 
-def _fold_regular(rows: list[tuple]) -> list[tuple]:
+def _fold_regular(rows: Iterator[tuple]) -> Iterator[tuple]:
     """rows: (ord, svtype, start, end, length, cell). Leaders lie in a dictionary of cells."""
     leaders: dict[int, list[tuple]] = {}
-    out = []
     for ord_, svtype, start, end, length, cell in rows:
         base, ratio = fields.DISTANCES.get(svtype, fields.OTHER_DISTANCE), fields.RATIOS.get(svtype, fields.OTHER_RATIO)
         best = None
@@ -45,18 +45,16 @@ def _fold_regular(rows: list[tuple]) -> list[tuple]:
         if best is None:
             best = ord_
             leaders.setdefault(cell, []).append((ord_, start, end, length))
-        out.append((ord_, best))
-    return out
+        yield ord_, best
 
 
 _RECIPROCAL = (frozenset(("RIGHT_TO_LEFT", "LEFT_TO_RIGHT")), frozenset(("RIGHT_TO_RIGHT", "LEFT_TO_LEFT")))
 
 
 def _fold_tra(reach: int):
-    def fold(rows: list[tuple]) -> list[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         """rows: (ord, rank, start, end, direction, cell), in rank order; leaders keep their rank for the oldest."""
         leaders: dict[int, list[tuple]] = {}
-        out = []
         for ord_, rank, start, end, way, cell in rows:
             best = None
             for c in (cell - 1, cell, cell + 1):
@@ -69,24 +67,21 @@ def _fold_tra(reach: int):
             if best is None:
                 best = (rank, ord_)
                 leaders.setdefault(cell, []).append((rank, ord_, start, end, way))
-            out.append((ord_, best[1]))
-        return out
+            yield ord_, best[1]
 
     return fold
 
 
 def _fold_bnd(delta: int):
-    def fold(rows: list[tuple]) -> list[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         """rows: (ord, rank, pos, target, cell)."""
         leaders: dict[int, list[tuple]] = {}
-        out = []
         for ord_, rank, pos, target, cell in rows:
             near = [x for c in (cell - 1, cell, cell + 1) for x in leaders.get(c, ()) if abs(x[2] - pos) <= delta and abs(x[3] - target) <= delta]
             best = min(near)[1] if near else ord_
             if not near:
                 leaders.setdefault(cell, []).append((rank, ord_, pos, target))
-            out.append((ord_, best))
-        return out
+            yield ord_, best
 
     return fold
 

@@ -10,7 +10,7 @@ but for those within a cell's reach. A hot place is one island by nature; caller
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -28,10 +28,11 @@ def with_islands(events: DataFrame, keys: list[str], at: str, width: Column) ->
     return df.join(cells, [*keys, "_cell"])
 
 
-def folded(events: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+def folded(events: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """fold over every island's rows (tuples of `columns`, sorted by `order`); its tuples make the result.
 
-    `fold` runs once per island; an island that spans Arrow batches is put together first.
+    `fold` runs once per island on an iterator, also over the ends of Arrow batches: rows stream through it, and a task
+    holds only what the fold itself keeps.
     """
     names = [part.split()[0] for part in schema.split(",")]
     group = [*keys, "_island"]
@@ -46,10 +47,11 @@ def folded(events: DataFrame, keys: list[str], order: list[str], columns: list[s
 
         out: list[tuple] = []
         for _, island in groupby(rows(), key=lambda r: r[0]):
-            out += fold([r[1] for r in island])
-            if len(out) >= 50_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+            for made in fold(r[1] for r in island):
+                out.append(made)
+                if len(out) >= 50_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
         if out:
             yield pd.DataFrame(out, columns=names)
 

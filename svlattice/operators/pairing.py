@@ -12,6 +12,7 @@ Defined results: records with an unreadable mate are in no result; repeated reco
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,20 +59,18 @@ def _near(held: dict, chrom: str, pos: int, chrom2: str, pos2: int, t: int) -> t
 
 
 def _passes(t: int):
-    def fold(rows: list[tuple]) -> list[tuple]:
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         """rows: (ord, chrom, pos, mate_chrom, mate_pos) in order; result (role, first_ord, second_ord, rank, rank2)."""
-        out = []
         waiting: dict[tuple, int] = {}
+        # leftovers have their own bookkeeping: equal records queue up instead of replacing each other, and a place
+        # ranks by the record that opened its queue
+        queues: dict[tuple, tuple[int, deque]] = {}
         for ord_, chrom, pos, chrom2, pos2 in rows:
             hit = _near(waiting, chrom2, pos2, chrom, pos, t)
             if hit is not None:
-                out.append(("mate", waiting.pop(hit), ord_, ord_, 0))
+                yield "mate", waiting.pop(hit), ord_, ord_, 0
             else:
                 waiting[chrom, pos, chrom2, pos2] = ord_
-        # leftovers have their own bookkeeping: equal records queue up instead of replacing each other, and a place
-        # ranks by the record that opened its queue
-        queues: dict[tuple, tuple[int, deque]] = {}
-        for ord_, chrom, pos, chrom2, pos2 in rows:
             hit = _near(queues, chrom2, pos2, chrom, pos, t)
             if hit is None:
                 queues.setdefault((chrom, pos, chrom2, pos2), (ord_, deque()))[1].append(ord_)
@@ -84,10 +83,10 @@ def _passes(t: int):
             for ord_ in queue:
                 hit = _near(left, chrom, pos, chrom2, pos2, t)
                 if hit is not None:
-                    out.append(("special", left.pop(hit)[0], ord_, begun, ord_))
+                    yield "special", left.pop(hit)[0], ord_, begun, ord_
                 else:
                     left[chrom, pos, chrom2, pos2] = (ord_, begun)
-        return out + [("single", ord_, ord_, begun, ord_) for ord_, begun in left.values()]
+        yield from (("single", ord_, ord_, begun, ord_) for ord_, begun in left.values())
 
     return fold
 

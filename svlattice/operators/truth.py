@@ -9,6 +9,8 @@ unmatched; metrics whose denominator is 0 are 0.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,8 +47,8 @@ def _overlap(s1: int, e1: int, s2: int, e2: int) -> float:
 
 def _fold(c: Criteria):
     def meets(truth: tuple, call: tuple) -> bool:
-        _, _, kind, s1, e1, c1, d1, q1, _ = truth
-        _, _, kind2, s2, e2, c2, d2, q2, _ = call
+        kind, s1, e1, c1, d1, q1 = truth
+        kind2, s2, e2, c2, d2, q2 = call
         if not c.ignore_type and kind != kind2 or abs(s1 - s2) > c.distance or abs(e1 - e2) > c.distance:
             return False
         if kind == "TRA":
@@ -60,20 +62,24 @@ def _fold(c: Criteria):
             return False
         return kind2 == "TRA" or _overlap(s1, e1, s2, e2) >= c.overlap
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        """rows: (side, ord, type, start, end, chrom, end chrom, sequence, cell), truth (side 0) first, each in order."""
-        free: dict[int, list[tuple]] = {}
-        out = []
-        for r in rows:
-            if r[0] == 0:
-                free.setdefault(r[8], []).append(r)
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        """rows: (side, ord, type, start, end, chrom, end chrom, sequence, cell), truth (side 0) first, each in order.
+
+        Free truth events lie in their cell, alike ones in one queue, so copies cost no more than one event.
+        """
+        free: dict[int, dict[tuple, deque]] = {}
+        for side, ord_, *event, cell in rows:
+            event = tuple(event)
+            if side == 0:
+                free.setdefault(cell, {}).setdefault(event, deque()).append(ord_)
                 continue
-            hits = [(t[1], cell, t) for cell in (r[8] - 1, r[8], r[8] + 1) for t in free.get(cell, ()) if meets(t, r)]
+            hits = [(queue[0], near, t) for near in (cell - 1, cell, cell + 1) for t, queue in free.get(near, {}).items() if meets(t, event)]
             if hits:
-                truth_ord, cell, t = min(hits)
-                free[cell].remove(t)
-                out.append((r[1], truth_ord))
-        return out
+                truth_ord, near, t = min(hits, key=lambda h: h[0])
+                free[near][t].popleft()
+                if not free[near][t]:
+                    del free[near][t]
+                yield ord_, truth_ord
 
     return fold
 

@@ -1,81 +1,109 @@
 """A sequential, character-wise model of packed fields, against which the expressions are tested."""
 
-def parse_list(t, sep, commas, brackets):
-    items=[]; vals=[]; cur=''; start=True; quoted=False; i=0; kept=0
-    def endval():
-        nonlocal cur,start,quoted
-        # trim only unquoted
-        vals.append(cur[:kept] + cur[kept:].rstrip(' ') if quoted else cur.strip(' ')); cur=''; start=True; quoted=False
-    while i<len(t):
-        c=t[i]
-        if start and c in '"\'':
-            j=i+1; out=''
-            ok=False
-            while j<len(t):
-                if t[j]==c:
-                    if j+1<len(t) and t[j+1]==c: out+=c; j+=2; continue
-                    ok=True; break
-                out+=t[j]; j+=1
-            if ok:
-                cur=out; kept=len(out); quoted=True; start=False; i=j+1; continue
-        if brackets and c in '[]':
-            j=t.find(c,i+1)
-            if j>=0: cur+=t[i:j+1]; start=False; i=j+1; continue
-        if sep and c==sep: endval(); items.append(vals); vals=[]; i+=1; continue
-        if commas and c==',': endval(); i+=1; continue
-        cur+=c
-        if c!=' ': start=False
-        i+=1
-    endval(); items.append(vals)
-    return items
-def parse_info(t):
-    items=[]; i=0
-    cur_key=''; has=False; vals=[]; cur=''; start=False; quoted=False; kept=0
-    def endval():
-        nonlocal cur,start,quoted
-        if quoted: vals.append(cur[:kept] + cur[kept:].rstrip(' '))
-        elif cur.strip(' ')!='': vals.append(cur.strip(' '))
-        cur=''; start=True; quoted=False
-    def enditem():
-        nonlocal cur_key,has,vals,cur,start,quoted
-        if has:
-            endval(); items.append((cur_key.strip(' '),True,vals or ['']))
-        elif cur_key.strip(' '): items.append((cur_key.strip(' '),False,['']))
-        cur_key='';has=False;vals=[];cur='';start=False;quoted=False
-    while i<len(t):
-        c=t[i]
-        if has and start and c in '"\'':
-            j=i+1; out=''; ok=False
-            while j<len(t):
-                if t[j]==c:
-                    if j+1<len(t) and t[j+1]==c: out+=c; j+=2; continue
-                    ok=True; break
-                out+=t[j]; j+=1
-            if ok: cur=out; kept=len(out); quoted=True; start=False; i=j+1; continue
-        if c in ';|\t': enditem(); i+=1; continue
-        if not has:
-            if c=='=': has=True; start=True
-            else: cur_key+=c
-        elif c==',': endval()
+import re
+
+
+class Value:
+    """A value under way: the quoted part, if it began with one, and the text after it."""
+
+    def __init__(self):
+        self.quoted, self.text = None, ""
+
+    def fresh(self):
+        return self.quoted is None and not self.text.strip(" ")
+
+    def done(self):
+        return self.text.strip(" ") if self.quoted is None else self.quoted + self.text.rstrip(" ")
+
+
+def quoted_at(text, i):
+    """The content of the quoted span at i and the place after it, or None."""
+    mark, out, j = text[i], "", i + 1
+    while j < len(text):
+        if text[j] != mark:
+            out += text[j]
+            j += 1
+        elif text[j + 1 : j + 2] == mark:
+            out += mark
+            j += 2
         else:
-            cur+=c
-            if c!=' ': start=False
-        i+=1
-    enditem()
+            return out, j + 1
+    return None
+
+
+def parse_list(text, separator, commas, brackets):
+    """The values of every item of a format or sample."""
+    items, values, value, i = [], [], Value(), 0
+    while i < len(text):
+        c = text[i]
+        if c in "\"'" and value.fresh() and (span := quoted_at(text, i)):
+            value.quoted, value.text = span[0], ""
+            i = span[1]
+            continue
+        if brackets and c in "[]" and (j := text.find(c, i + 1)) >= 0:
+            value.text += text[i : j + 1]
+            i = j + 1
+            continue
+        if separator and c == separator or commas and c == ",":
+            values.append(value.done())
+            value = Value()
+            if c == separator:
+                items.append(values)
+                values = []
+        else:
+            value.text += c
+        i += 1
+    return [*items, [*values, value.done()]]
+
+
+def parse_info(text):
+    """(key, whether it holds '=', values) of every item of an info field."""
+    items, key, values, value, i = [], "", [], None, 0
+
+    def end_value():
+        if value.quoted is not None or value.done():
+            values.append(value.done())
+
+    def end_item():
+        if value is not None:
+            end_value()
+            items.append((key.strip(" "), True, values or [""]))
+        elif key.strip(" "):
+            items.append((key.strip(" "), False, [""]))
+
+    while i < len(text):
+        c = text[i]
+        if value is not None and c in "\"'" and value.fresh() and (span := quoted_at(text, i)):
+            value.quoted, value.text = span[0], ""
+            i = span[1]
+            continue
+        if c in ";|\t":
+            end_item()
+            key, values, value = "", [], None
+        elif value is None and c == "=":
+            value = Value()
+        elif value is None:
+            key += c
+        elif c == ",":
+            end_value()
+            value = Value()
+        else:
+            value.text += c
+        i += 1
+    end_item()
     return items
-import re
+
+
 def rows(caller, corrected):
-    out=[]
-    for o,info,fmt in caller:
-        if info is not None:
-            for n,(k,h,v) in enumerate(parse_info(info),1):
-                for m,x in enumerate(v,1): out.append((o,'info',n,k,m,x))
-        if fmt is not None:
-            m=re.search('[:;|]',fmt)
-            for n,k in enumerate(parse_list(fmt,m[0] if m else '',False,False),1): out.append((o,'format',n,'',1,k[0]))
-    for o,fmt,smp in corrected:
-        if smp is None: continue
-        m=re.search('[:;|]',fmt or '')
-        for n,v in enumerate(parse_list(smp,m[0] if m else '',True,True),1):
-            for k,x in enumerate(v,1): out.append((o,'sample',n,'',k,x))
+    """(ord, fld, item_no, item_key, val_no, val) of (ord, info, format) and (ord, format, sample) rows."""
+    out = []
+    separator = lambda fmt: m[0] if (m := re.search("[:;|]", fmt or "")) else ""
+    for o, info, fmt in caller:
+        for n, (key, _, values) in enumerate(parse_info(info) if info is not None else [], 1):
+            out += [(o, "info", n, key, m, v) for m, v in enumerate(values, 1)]
+        for n, key in enumerate(parse_list(fmt, separator(fmt), False, False) if fmt is not None else [], 1):
+            out.append((o, "format", n, "", 1, key[0]))
+    for o, fmt, sample in corrected:
+        for n, values in enumerate(parse_list(sample, separator(fmt), True, True) if sample is not None else [], 1):
+            out += [(o, "sample", n, "", m, v) for m, v in enumerate(values, 1)]
     return out

@@ -27,6 +27,9 @@ END = re.compile(r"[.!?。！？…][\"'”»)\]」』）]*$")
 LINK = re.compile(r"(?:https?:)?//[^\s<>\"')\]]+|\b(?:www\.)?[\w-]+(?:\.[\w-]+)+/[^\s<>\"')\]]*|\bwww\.[^\s<>\"')\]]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|example|test|invalid|shop|html)\b")
 MARKUP = re.compile(r"</?(?:a|title|meta|li|ul|ol|h[1-6]|div|span|p|b|i|strong|em|br|nav|td|tr|table|img|option|button|footer|header|label)\b[^>]*>", re.I)
 PRICE = re.compile(r"(?:\b[A-Z][A-Za-z]{1,6}-\d{2,}\b.{0,20}?|[$€£¥]\s?|\b(?:EUR|USD|GBP|CHF)\s?)\d+[.,]\d\d\b")
+CENTS = re.compile(r"\d[.,]\d\d\b")
+DIGIT = re.compile(r"\d")
+DOTTED = re.compile(r"\w\.[^\W\d_]")
 TAG = re.compile(r"(?:^|(?<=[\s,;#\w]))#\w")
 BULLET = re.compile(r"^(?:[-*•·–>]+|\(?\d{1,4}[.):])\s+")
 REFERENCE = re.compile(r"^\[\d+\]\s")
@@ -67,76 +70,87 @@ def pieces(text: str) -> Iterator[str]:
             yield line[at:]
 
 
-def piece_shape(piece: str, near: Counter, own: list[str]) -> tuple[int, str]:
-    """Class and shape of a piece. own: its words; near: in how many of the pieces around it, it included, a word is."""
-    n, words = len(piece), len(own)
-    if piece.count("\t") >= 2:
-        return NEUTRAL, "record"
-    if LOG.match(piece):
-        return NEUTRAL, "log"
-    if REFERENCE.match(piece):
-        return NEUTRAL, "reference"
-    if SEQUENCE.match(piece):
-        return NEUTRAL, "sequence"
-    if "<" in piece and MARKUP.search(piece):
-        return OTHER, "markup"
-    end = END.search(piece)
-    if "//" in piece or "." in piece[: -1 if end else n]:
-        links = LINK.findall(piece)
-        linked = sum(map(len, links))
-        if links and (linked > 0.5 * n or (not end and (len(links) > 1 or linked > 0.25 * n))):
-            return OTHER, f"link{min(len(links), 2)}"
-    if "#" in piece:
-        tags = len(TAG.findall(piece))
-        if tags and (tags > 1 or words <= 3) and tags * 6 >= words:
-            return OTHER, "tag"
-    prices = len(PRICE.findall(piece))
-    if prices * 14 >= max(words, 1):
-        return OTHER, "price"
-    distinct = set(own)
-    if words >= 12 and len(distinct) < 0.45 * words:
-        return OTHER, "repeat"
-    again = sum(1 for w in own if near[w] > 1) if words >= 2 else 0
-    if end:
-        real = end.group()[0] in "。！？…" or not FUNCTION_WORDS.isdisjoint(own) or any(c.isdigit() for c in piece)
-        if real:
-            return SENTENCE, "sentence"
-        return (OTHER if again + words - len(distinct) >= 0.5 * words else PLAIN), "phrases"
-    if words >= 2 and again >= 0.8 * words or words >= 5 and len(distinct) <= (0.7 if words >= 8 else 0.6) * words:
-        return OTHER, "repeat"
-    bullet = BULLET.match(piece)
-    body = piece[bullet.end() :] if bullet else piece
-    form = FORM.match(body)
-    if form:
-        if body[: form.start("rest")].rstrip(" :：").lower() in NEUTRAL_LABELS:
-            return NEUTRAL, "keywords of a text"
-        if len(SEPARATOR.split(form["rest"])) < 3:
-            return NEUTRAL, "form"
-    parts = sum(1 for p in SEPARATOR.split(body) if p)
-    if parts >= 3 and words <= 6 * parts:
-        return OTHER, f"list{min(parts.bit_length(), 6)}"
-    if words <= 8:
-        return SHORT, f"line{words}{'c' if 2 * sum(1 for w in own if w[:1].isupper()) > words else ''}"
-    return SENTENCE, "open"
+class _Page:
+    """A page's pieces with their words, which are found when first asked for."""
+
+    def __init__(self, text: str):
+        self.pieces = list(pieces(text))
+        self._words: list[list[str] | None] = [None] * len(self.pieces)
+
+    def words(self, i: int) -> list[str]:
+        known = self._words[i]
+        if known is None:
+            known = self._words[i] = WORD.findall(self.pieces[i].lower())
+        return known
+
+    def again(self, i: int) -> int:
+        """How many of a piece's words also occur in the pieces near it."""
+        others: set[str] = set()
+        for j in (*range(max(0, i - REACH), i), *range(i + 1, min(len(self.pieces), i + REACH + 1))):
+            others.update(self.words(j))
+        return sum(1 for w in self.words(i) if w in others)
+
+    def shape(self, i: int) -> tuple[int, str]:
+        """Class and shape of a piece."""
+        piece = self.pieces[i]
+        n = len(piece)
+        if piece.count("\t") >= 2:
+            return NEUTRAL, "record"
+        if LOG.match(piece):
+            return NEUTRAL, "log"
+        if REFERENCE.match(piece):
+            return NEUTRAL, "reference"
+        if SEQUENCE.match(piece):
+            return NEUTRAL, "sequence"
+        if "<" in piece and MARKUP.search(piece):
+            return OTHER, "markup"
+        end = END.search(piece, max(0, n - 12))
+        if "//" in piece or DOTTED.search(piece):
+            links = LINK.findall(piece)
+            linked = sum(map(len, links))
+            if links and (linked > 0.5 * n or (not end and (len(links) > 1 or linked > 0.25 * n))):
+                return OTHER, f"link{min(len(links), 2)}"
+        own = self.words(i)
+        words = len(own)
+        if "#" in piece:
+            tags = len(TAG.findall(piece))
+            if tags and (tags > 1 or words <= 3) and tags * 6 >= words:
+                return OTHER, "tag"
+        if CENTS.search(piece) and len(PRICE.findall(piece)) * 14 >= max(words, 1):
+            return OTHER, "price"
+        distinct = len(set(own))
+        if words >= 12 and distinct < 0.45 * words:
+            return OTHER, "repeat"
+        if end:
+            if end.group()[0] in "。！？…" or not FUNCTION_WORDS.isdisjoint(own) or DIGIT.search(piece):
+                return SENTENCE, "sentence"
+            again = self.again(i) if words >= 2 else 0
+            return (OTHER if again + words - distinct >= 0.5 * words else PLAIN), "phrases"
+        if words >= 2 and self.again(i) >= 0.8 * words or words >= 5 and distinct <= (0.7 if words >= 8 else 0.6) * words:
+            return OTHER, "repeat"
+        bullet = BULLET.match(piece)
+        body = piece[bullet.end() :] if bullet else piece
+        form = FORM.match(body)
+        if form:
+            if body[: form.start("rest")].rstrip(" :：").lower() in NEUTRAL_LABELS:
+                return NEUTRAL, "keywords of a text"
+            if len(SEPARATOR.split(form["rest"])) < 3:
+                return NEUTRAL, "form"
+        parts = sum(1 for p in SEPARATOR.split(body) if p)
+        if parts >= 3 and words <= 6 * parts:
+            return OTHER, f"list{min(parts.bit_length(), 6)}"
+        if words <= 8:
+            return SHORT, f"line{words}{'c' if 2 * sum(1 for w in WORD.findall(piece) if w[:1].isupper()) > words else ''}"
+        return SENTENCE, "open"
 
 
 def page_shapes(text: str | None) -> Counter:
     """(class, shape) -> characters of a page."""
-    if not text or text.isspace():
-        return Counter()
-    parts = list(pieces(text))
-    words = [WORD.findall(p.lower()) for p in parts]
-    near: Counter = Counter()
-    for w in words[:REACH]:
-        near.update(set(w))
-    shapes = []
-    for i, p in enumerate(parts):
-        if i + REACH < len(parts):
-            near.update(set(words[i + REACH]))
-        if i > REACH:
-            near.subtract(set(words[i - REACH - 1]))
-        shapes.append((*piece_shape(p, near, words[i]), len(p)))
     out: Counter = Counter()
+    if not text or text.isspace():
+        return out
+    page = _Page(text)
+    shapes = [(*page.shape(i), len(p)) for i, p in enumerate(page.pieces)]
     # short lines without an end: single ones are headings or names; in runs, or among pieces that aren't sentences, a list
     for run, group in groupby(shapes, key=lambda s: s[0] >= OTHER):
         group = list(group)

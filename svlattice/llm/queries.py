@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svlattice.llm import bpe, encode, packing, spam
-from svlattice.session import table
+from svlattice.session import spread, table
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.token_ids(table(spark, folder, "documents"), "doc_id", "text", bpe.vocabulary_path())
+    return encode.token_ids(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text", bpe.vocabulary_path())
 
 
 def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_tokens, same: whether the streaming decode of the ids is the text."""
-    docs = table(spark, folder, "documents", "doc_id", "text")
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"))
     vocabulary = bpe.vocabulary_path()
     ids = encode.token_ids(docs, "doc_id", "text", vocabulary)
     back = encode.decoded(ids, "doc_id", "ids", vocabulary).withColumnRenamed("text", "back")
@@ -24,7 +24,7 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = encode.token_counts(table(spark, folder, "documents"), "doc_id", "text", bpe.vocabulary_path())
+    sizes = encode.token_counts(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text", bpe.vocabulary_path())
     return packing.packed(sizes, "doc_id", "n_tokens")
 
 
@@ -33,7 +33,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.spam_pages(table(spark, folder, "documents"), "doc_id", "text")
+    return spam.spam_pages(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found)}

@@ -146,7 +146,7 @@ def representatives(events: DataFrame, membership: DataFrame) -> DataFrame:
     score = fields.total_score(F.col("support_n"), F.col("qual_n"), F.col("caller"))
     df = events.join(membership, "ord").withColumn("score", score)
     rank = F.struct("score", F.coalesce("support_n", F.lit(0)).alias("s"), F.coalesce("qual_n", F.lit(50.0)).alias("q"), (-F.col("ord")).alias("o"))
-    kept = [c for c in df.columns if c != "cluster_id"]
+    kept = [c for c in df.columns if c not in ("cluster_id", "sources", "n_members")]
     df = df.groupBy("cluster_id").agg(F.max_by(F.struct(*kept), rank).alias("_best"), F.array_sort(F.collect_set("source_file")).alias("sources"), F.count("*").alias("n_members"))
     return df.select("cluster_id", "_best.*", "sources", "n_members")
 

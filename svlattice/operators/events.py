@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from svlattice.functions import bnd, fields
 
 
+RESOLVED = ("svtype", "bnd_alt", "start_chrom", "start_pos", "end_chrom", "end_pos", "svlen_text", "support_n", "qual_n", "caller", "length")
+
+
 def corrected_events(records: DataFrame) -> DataFrame:
     """The columns of a corrected-record table with svtype, coordinates, lengths, support and source resolved.
 
@@ -16,7 +19,7 @@ def corrected_events(records: DataFrame) -> DataFrame:
     ''; one without a chromosome or position keeps nulls and matches nothing. The stages keep every expression single:
     a column that several others use is a column of an earlier projection, not a repeated expression.
     """
-    kept = records.columns
+    kept = [c for c in records.columns if c not in RESOLVED]  # a table's own columns of these names give way
     info, fmt, sample = F.col("info_raw"), F.col("format_raw"), F.col("sample_raw")
     df = records.select(
         *kept, F.coalesce(fields.info_text(info, "SVTYPE"), F.lit("")).alias("svtype"), fields.info_text(info, "CHR2").alias("_chr2"), fields.info_text(info, "END").alias("_end"),

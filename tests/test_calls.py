@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from svlattice.functions import bnd, fields
 from svlattice.operators import cluster, filters, pairing, sourcesets, statistics, truth
-from svlattice.operators.events import caller_events
+from svlattice.operators.events import caller_events, corrected_events
 
 
 def events_of(spark, rows):
@@ -251,3 +251,21 @@ def test_filters_by_hand(spark):
     assert filters.passing(df, filters.Limits()).count() == 7 and filters.filter_statistics(df.limit(0), limits).first().pass_rate == 0.0
     with pytest.raises(Exception, match="unknown SV type"):
         filters.known_types(spark.createDataFrame([("CNV",)], "svtype string")).collect()
+
+
+def test_events_of_nulls_and_clashing_columns(spark):
+    columns = "ord long, source_file string, chrom string, pos long, alt string, qual string, info_raw string, format_raw string, sample_raw string"
+    rows = [
+        (1, None, None, None, None, None, None, None, None), (2, "f", "chr1", 5, "<DEL>", "nan", "SVTYPE=DEL;END=.;SVLEN=-7", "GT", "0/1"), (3, "f", "chr1", 5, "<DEL>", "1", "SVTYPE=DEL", "CO", "chr1_5-chr2_9"),
+        (4, "f", "chr1", 5, "N[x:y:7[", "1", "SVTYPE=BND;CHR2=z;END=8", "SC", "my_SVIM.vcf"), (5, "f", "chr1", 5, "N[c:7[", "1", "SVTYPE=TRA", "GT:REF:CO", "a:b:c-d"), (6, "f", "chr1", 5, "N", "1", "SVTYPE=INS;END=x", "", ""),
+    ]
+    df = spark.createDataFrame(rows, columns).withColumns({c: F.lit("clash") for c in ("svtype", "length", "caller", "route", "mate_pos", "score", "sources")})
+    got = {r.ord: (r.svtype, r.end_chrom, r.end_pos, r.length, r.caller) for r in corrected_events(df).collect()}
+    assert got == {
+        1: ("", None, None, None, "unknown"), 2: ("DEL", "chr1", 12, 7, "unknown"), 3: ("DEL", "chr2", 9, 5, "unknown"), 4: ("BND", "z", 8, 4, "svim"), 5: ("TRA", "c", 7, 3, "unknown"), 6: ("INS", "chr1", 5, 1, "unknown"),
+    }
+    assert caller_events(df).where("route = 'diff'").select("mate_pos").collect() == [(None,)]
+    events = corrected_events(df)
+    merged = cluster.representatives(events, cluster.clusters(events))
+    assert sorted(r.cluster_id for r in merged.collect()) == [2, 4, 5, 6] and len(set(merged.columns)) == len(merged.columns)
+    assert cluster.clusters(events.limit(0)).count() == 0

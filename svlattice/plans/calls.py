@@ -110,7 +110,9 @@ def cluster_bnd(spark, folder):
 
 def _merged(spark, folder) -> tuple[DataFrame, DataFrame]:
     events = _corrected(spark, folder)
-    members = cut_lineage(cluster.clusters(events))
+    # the passes of clustering read the typed columns several times: written once, without the packed fields
+    places = cut_lineage(events.select("ord", "svtype", "start_chrom", "start_pos", "end_chrom", "end_pos", "length", F.col("bnd_alt").alias("alt")))
+    members = cut_lineage(cluster.clusters(places))
     return cluster.representatives(events, members), members
 
 

@@ -8,7 +8,8 @@ count as separators where the state is plain. Columns are slices of the buffer;
 built-in expressions after it. The stage is narrow: no shuffle but the join with the files' callers.
 
 Defined results: null, empty and comment lines are no records. One final carriage return is dropped. Of several
-failures the first in the order quote, columns, pos, qual, alt counts. Repeated lines are each reported.
+failures the first in the order quote, columns, pos, qual, alt counts. Repeated lines are each reported. A record of 13 columns has four samples, of
+which `samples` keeps all and `sample_raw` the last, as `sources.vcf` does.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 16
-N_FIXED = 10
-NAMES = ("chrom", "pos_raw", "sv_id", "ref_seq", "alt", "qual_raw", "filter_raw", "info_raw", "format_raw", "sample_raw")
+SAMPLES = ("sample_1", "sample_2", "sample_3", "sample_4")
+NAMES = ("chrom", "pos_raw", "sv_id", "ref_seq", "alt", "qual_raw", "filter_raw", "info_raw", "format_raw", *SAMPLES)
+N_READ = len(NAMES)  # as many as the widest loadable record has
 KEPT = "line_id long, file_id long, line_no long"
 TOKENS = KEPT + ", n_quotes int, quote_at int, n_columns int, end_at int, starts array<int>, " + ", ".join(f"{n} string" for n in NAMES)
 
@@ -89,15 +91,15 @@ def tokenize(batch: pa.RecordBatch) -> pa.RecordBatch:
     tabs = np.flatnonzero((data == 9) & ~quoted_at(data, begin[full]))
     first = np.searchsorted(tabs, begin)
     n_columns = np.searchsorted(tabs, end) - first + 1
-    cols, starts = [], np.full((len(begin), N_FIXED), -1, dtype=np.int32)
-    padded = np.concatenate((tabs, np.zeros(N_FIXED + 1, dtype=tabs.dtype)))
-    for j in range(N_FIXED):
+    cols, starts = [], np.full((len(begin), N_READ), -1, dtype=np.int32)
+    padded = np.concatenate((tabs, np.zeros(N_READ + 1, dtype=tabs.dtype)))
+    for j in range(N_READ):
         valid = n_columns > j
         lo = begin if j == 0 else padded[first + j - 1] + 1
         hi = np.where(n_columns > j + 1, padded[first + j], end)
         cols.append(slices(data, lo, hi, valid))
         starts[:, j] = np.where(valid, lo - begin, -1)
-    lists = pa.ListArray.from_arrays(np.arange(0, starts.size + 1, N_FIXED, dtype=np.int32), pa.array(starts.ravel()))
+    lists = pa.ListArray.from_arrays(np.arange(0, starts.size + 1, N_READ, dtype=np.int32), pa.array(starts.ravel()))
     kept = [batch.column(c) for c in ("line_id", "file_id", "line_no")]
     arrays = [*kept, pa.array(n_quotes), pa.array(quote_at), pa.array(n_columns.astype(np.int32)), pa.array((end - begin).astype(np.int32)), lists, *cols]
     return pa.RecordBatch.from_arrays(arrays, names=["line_id", "file_id", "line_no", "n_quotes", "quote_at", "n_columns", "end_at", "starts", *NAMES])
@@ -116,7 +118,7 @@ ALT_FORMS = (
     BASES, r"\.", "<[A-Za-z0-9_:]+>", rf"{BASES}\.", rf"\.{BASES}",
     rf"{BASES}\[[^\[\]]+:[0-9]+\[", rf"{BASES}\][^\[\]]+:[0-9]+\]", rf"\[[^\[\]]+:[0-9]+\[{BASES}", rf"\][^\[\]]+:[0-9]+\]{BASES}",
 )
-N_COLUMNS, N_COLUMNS_WIDE, WIDE_CALLER = (8, 10), 13, "svaba"
+N_COLUMNS, N_COLUMNS_WIDE, WIDE_CALLER = (8, 10), N_READ, "svaba"
 
 
 def whole(column: Column, form: str) -> Column:
@@ -153,9 +155,14 @@ def refused(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def loaded(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """The loadable records, typed; qual '.' is null, and a record of 8 columns has null format and sample."""
+    """The loadable records, typed; qual '.' is null, and a record of 8 columns has null format and sample.
+
+    samples holds all columns after the format, sample_raw the last of them.
+    """
     rows = judged_lines(lines, files).where(F.col("reason").isNull())
+    samples = F.when(F.col("sample_1").isNotNull(), F.filter(F.array(*SAMPLES), lambda x: x.isNotNull()))
     return rows.select(
         "line_id", "file_id", "line_no", "chrom", position(F.col("pos_raw")).alias("pos"), "sv_id", "ref_seq", "alt",
-        F.col("qual_raw").try_cast("double").alias("qual"), "filter_raw", "info_raw", "format_raw", "sample_raw",
+        F.col("qual_raw").try_cast("double").alias("qual"), "filter_raw", "info_raw", "format_raw",
+        F.coalesce(*reversed(SAMPLES)).alias("sample_raw"), samples.alias("samples"),
     )

@@ -120,6 +120,17 @@ def test_refused_lines(spark):
     assert refused.refused(df.limit(0), files).count() == 0
 
 
+def test_loaded_samples(spark):
+    head = "chr1\t5\ta\tN\t<DEL>\t.\tPASS\tA=1"
+    tails = {1: "", 2: "\tG\t1", 3: "\tG\tp\tq\tr\tlast", 4: "\tG\tp\tq\tr\tlast\r", 5: "\tG\tp\t\t\t", 6: '\tG\t"a\tb"\tq\tr\t"c\td"', 7: "\tG\t"}
+    df = spark.createDataFrame([(i, 1, i, head + x) for i, x in tails.items()], "line_id long, file_id long, line_no long, line string")
+    ok = refused.loaded(df, spark.createDataFrame([(1, "svaba")], "file_id long, caller string")).collect()
+    assert {r.line_id: (r.format_raw, r.sample_raw, r.samples) for r in ok} == {
+        1: (None, None, None), 2: ("G", "1", ["1"]), 3: ("G", "last", ["p", "q", "r", "last"]), 4: ("G", "last", ["p", "q", "r", "last"]), 5: ("G", "", ["p", "", "", ""]),
+        6: ("G", '"c\td"', ['"a\tb"', "q", "r", '"c\td"']), 7: ("G", "", [""]),
+    }
+
+
 def test_percentiles_within_the_bound_and_mergeable(spark):
     rng = np.random.default_rng(7)
     n = 60_000

@@ -49,7 +49,7 @@ def run_merge(
     members = cluster.member_samples(events, membership)
     make = formats.sample_rows if mode == "sample" else formats.merged_rows
     header = text.merged_header(contigs, shown if mode == "sample" else ["SAMPLE"], "SVCFv1.0" if mode == "sample" else "VCFv4.2")
-    n = text.write_lines(make(chosen, members, sources, names), ["out_key"], target, header)
+    n = text.write_lines(make(chosen, members, formats.inputs(spark, sources, names)), ["out_key"], target, header)
     if upset:
         rows = sourcesets.intersections(merged).select(F.concat_ws("\t", "sources_text", "n_files", "n").alias("line"), "n", "n_files", "sources_text")
         text.write_lines(rows, [F.desc("n"), F.desc("n_files"), "sources_text"], upset, ["files\tn_files\tn"])

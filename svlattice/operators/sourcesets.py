@@ -162,6 +162,15 @@ def selected(
     raise ValueError("no merge strategy given")
 
 
+def touching(merged: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
+    """Merged events with a member of any of the files, which may be many: the union by joins, without a literal per file.
+
+    members: cluster_id, source_file; files: base.
+    """
+    held = members.select("cluster_id", fields.base_name(F.col("source_file")).alias("base")).join(files, "base", "left_semi")
+    return merged.join(held.select("cluster_id").distinct(), "cluster_id", "left_semi")
+
+
 def intersections(merged: DataFrame) -> DataFrame:
     """sources_text, n_files, n: merged events by their exact set of files, the largest first."""
     held = F.array_sort(names(F.col("sources")))
@@ -175,6 +184,10 @@ def file_totals(merged: DataFrame, files: DataFrame) -> DataFrame:
     return files.select("file").distinct().join(n, "file", "left").select("file", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "file")
 
 
+def stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
 def display_names(files: list[str], custom: list[str] | None = None) -> list[str]:
     """A file's given name by position, else its stem; the numbers must agree."""
     if custom is not None and len(custom) != len(files):

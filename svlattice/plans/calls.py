@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from svlattice.functions import bnd, fields
@@ -126,7 +126,7 @@ def region_lookup(spark, folder):
 
 
 def _file_names(spark, folder) -> list[str]:
-    """The input files of the set queries: the first three by name (an argument of these queries, not a limit on records)."""
+    """The argument of the set queries (merge_union to merge_expression): the first three files by name, as their SQL has it."""
     return [r[0] for r in table(spark, folder, "call_file", "svcf_name").orderBy("svcf_name").limit(3).collect()]
 
 
@@ -252,20 +252,28 @@ def to_bedpe(spark, folder):
     return formats.bedpe_rows(_corrected(spark, folder))
 
 
-def merged_caller_rows(spark, folder):
+def _input_files(spark, folder) -> DataFrame:
+    """base, place, shown of every file of the call set, by name. Numbered in one task: a row of sample mode is as long as this list."""
+    names = table(spark, folder, "call_file", "svcf_name").where("svcf_name is not null").distinct()
+    base = fields.base_name(F.col("svcf_name"))
+    return names.select(base.alias("base"), (F.row_number().over(Window.orderBy("svcf_name")) - 1).alias("place"), sourcesets.stem(base).alias("shown"))
+
+
+def _merged_rows(spark, folder, make) -> DataFrame:
     events = _corrected(spark, folder)
     merged, members = _merged(spark, folder)
-    files = _file_names(spark, folder)
-    keep = sourcesets.selected(merged, files, union_=True)
-    return formats.merged_rows(cluster.output_order(keep), cluster.member_samples(events, members), files).select("cluster_id", "line")
+    files = _input_files(spark, folder)
+    samples = cluster.member_samples(events, members)
+    keep = sourcesets.touching(merged, samples, files)
+    return make(cluster.output_order(keep), samples, files).select("cluster_id", "line")
+
+
+def merged_caller_rows(spark, folder):
+    return _merged_rows(spark, folder, formats.merged_rows)
 
 
 def merged_sample_rows(spark, folder):
-    events = _corrected(spark, folder)
-    merged, members = _merged(spark, folder)
-    files = _file_names(spark, folder)
-    keep = sourcesets.selected(merged, files, union_=True)
-    return formats.sample_rows(cluster.output_order(keep), cluster.member_samples(events, members), files).select("cluster_id", "line")
+    return _merged_rows(spark, folder, formats.sample_rows)
 
 
 QUERIES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svlattice.functions import fields
@@ -88,35 +88,49 @@ def _merged_info(sources: Column) -> Column:
     return F.when(F.contains(text, F.lit("SOURCES")), text).otherwise(F.concat(text, F.lit(";SOURCES="), sources))
 
 
-def _in_file_order(files: list[str], shown: list[str]) -> Column:
-    held = sourcesets.names(F.col("sources"))
-    pairs = [(f.rpartition("/")[2], s) for f, s in zip(files, shown)]
-    return F.array_join(F.filter(F.array(*(F.when(F.array_contains(held, f), s) for f, s in pairs)), lambda x: x.isNotNull()), ",")
+def inputs(spark: SparkSession, files: list[str], names: list[str] | None = None) -> DataFrame:
+    """base, place, shown of the given input files: the base name, the position and the name that is written."""
+    rows = [(f.rpartition("/")[2], i, s) for i, (f, s) in enumerate(zip(files, sourcesets.display_names(files, names)))]
+    return spark.createDataFrame(rows, "base string, place int, shown string")
 
 
-def merged_rows(merged: DataFrame, members: DataFrame, files: list[str], names: list[str] | None = None) -> DataFrame:
+def _joined_shown(held: Column) -> Column:
+    """SOURCES: the names of the files that hold a member, in file order, of an array of (place, shown)."""
+    return F.array_join(F.array_sort(F.array_distinct(held))["shown"], ",")
+
+
+def merged_rows(merged: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
     """out_key, line of merged events in caller mode: one sample column per member, by file and then record order.
 
-    merged: representatives with out_key; members: cluster_id, ord, source_file, sample_raw. A cluster's samples come
-    together in one row, as the format demands; a member is found by its own file.
+    merged: representatives with out_key; members: cluster_id, ord, source_file, sample_raw; files: as of `inputs`, of
+    any number. A cluster's samples come together in one row, as the format demands; a member is found by its own file.
     """
-    shown = sourcesets.display_names(files, names)
-    order = F.coalesce(*(F.when(fields.base_name(F.col("source_file")) == f.rpartition("/")[2], F.lit(i)) for i, f in enumerate(files)), F.lit(len(files)))
-    cells = members.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("i"), "ord", _sample_out(F.col("sample_raw")).alias("s")))).alias("_cells"))
+    by_base = files.groupBy("base").agg(F.min("place").alias("_place"), F.collect_list(F.struct("place", "shown")).alias("_named"))
+    placed = members.select("cluster_id", "ord", "sample_raw", fields.base_name(F.col("source_file")).alias("base")).join(by_base, "base", "left")
+    cell = F.struct(F.col("_place").isNull().alias("other"), "_place", "ord", _sample_out(F.col("sample_raw")).alias("s"))  # members of other files last
+    cells = placed.groupBy("cluster_id").agg(F.array_sort(F.collect_list(cell)).alias("_cells"), F.flatten(F.collect_set("_named")).alias("_held"))
     df = merged.join(cells, "cluster_id")
     samples = F.array_join(F.col("_cells")["s"], "\t")
     head = [F.col(c) for c in ("chrom", "pos", "sv_id", "ref_seq", "alt", "qual", "filter_raw")]
-    return df.select("cluster_id", "out_key", _tabs(*head, _merged_info(_in_file_order(files, shown)), F.col("format_raw"), samples).alias("line"))
+    return df.select("cluster_id", "out_key", _tabs(*head, _merged_info(_joined_shown(F.col("_held"))), F.col("format_raw"), samples).alias("line"))
 
 
-def sample_rows(merged: DataFrame, members: DataFrame, files: list[str], names: list[str] | None = None) -> DataFrame:
-    """out_key, line of merged events in sample mode: one column per input file, the first member of each file, else a missing genotype."""
-    shown = sourcesets.display_names(files, names)
-    first = members.groupBy("cluster_id", fields.base_name(F.col("source_file")).alias("_f")).agg(F.min_by(_sample_out(F.col("sample_raw")), "ord").alias("_s"))
-    cells = first.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("_f", "_s"))).alias("_cells"))  # at most one entry per file
-    df = merged.join(cells, "cluster_id")
+def sample_rows(merged: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
+    """out_key, line of merged events in sample mode: one column per input file, the first member of each file, else a missing genotype.
+
+    The format has a cell for every row and file; runs of missing ones are repeated text between the cells that are held.
+    """
+    first = members.groupBy("cluster_id", fields.base_name(F.col("source_file")).alias("base")).agg(F.min_by(_sample_out(F.col("sample_raw")), "ord").alias("s"))
+    cells = first.join(files, "base").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("place", "shown", "s"))).alias("_cells"))  # one entry per file
+    df = merged.join(cells, "cluster_id", "left").crossJoin(F.broadcast(files.agg(F.count("*").cast("int").alias("_n"))))
+    held = F.coalesce("_cells", F.expr("cast(array() as array<struct<place: int, shown: string, s: string>>)"))
     n = F.size(F.split("format_raw", ":", -1))
-    missing = F.concat(F.lit("0/0:"), F.array_join(F.array_repeat(F.lit("."), n - 1), ":"))
-    columns = [F.coalesce(F.try_element_at("_cells", F.lit(f.rpartition("/")[2])), missing) for f in files]
+    missing = F.coalesce(F.concat(F.lit("0/0:"), F.array_join(F.array_repeat(F.lit("."), n - 1), ":")), F.lit("."))
+    df = df.select("*", held.alias("_held"), missing.alias("_missing"))
+    after = lambda i: F.coalesce(F.get(F.col("_held"), i)["place"] + 1, F.lit(0))
+    part = lambda x, i: F.concat(F.repeat(F.concat(F.lit("\t"), "_missing"), x["place"] - after(i - 1)), F.lit("\t"), F.coalesce(x["s"], "_missing"))
+    rest = F.repeat(F.concat(F.lit("\t"), "_missing"), F.col("_n") - after(F.size("_held") - 1))
+    columns = F.concat(F.array_join(F.transform("_held", part), ""), rest)  # every cell after its tab
     head = [F.col(c) for c in ("chrom", "pos", "sv_id", "ref_seq", "alt", "qual", "filter_raw")]
-    return df.select("cluster_id", "out_key", _tabs(*head, _merged_info(_in_file_order(files, shown)), F.col("format_raw"), *columns).alias("line"))
+    sources = _joined_shown(F.transform("_held", lambda x: F.struct(x["place"].alias("place"), x["shown"].alias("shown"))))
+    return df.select("cluster_id", "out_key", F.concat(_tabs(*head, _merged_info(sources), F.col("format_raw")), columns).alias("line"))

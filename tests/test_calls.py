@@ -269,3 +269,19 @@ def test_events_of_nulls_and_clashing_columns(spark):
     merged = cluster.representatives(events, cluster.clusters(events))
     assert sorted(r.cluster_id for r in merged.collect()) == [2, 4, 5, 6] and len(set(merged.columns)) == len(merged.columns)
     assert cluster.clusters(events.limit(0)).count() == 0
+
+
+def test_merged_rows_of_many_files(spark, tmp_path):
+    """Five input files, one of them without records; every cluster, member and file is written."""
+    from svlattice.plans.calls import QUERIES
+
+    call = lambda o, file, pos, n: (o, file, "s", "chr1", pos, f"r{o}", "N", "<DEL>", "20", "PASS", f"SVTYPE=DEL;END={pos + n};SVLEN=-{n};CHR2=chr1;SUPPORT=3", "GT:AD", f"0/1:{o}")
+    rows = [call(1, "e.svcf", 1000, 100), call(2, "d.svcf", 1010, 100), call(3, "a.svcf", 1000, 100), call(4, "d.svcf", 1000, 100), call(5, "e.svcf", 90000, 300)]
+    columns = "ord long, source_file string, sample_name string, chrom string, pos long, sv_id string, ref_seq string, alt string, qual string, filter_raw string, info_raw string, format_raw string, sample_raw string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "svcf_event.parquet"))
+    spark.createDataFrame([(f"{x}.svcf",) for x in "edcba"], "svcf_name string").write.parquet(str(tmp_path / "call_file.parquet"))
+    cells = lambda name: {r.cluster_id: r.line.split("\t") for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    caller, sample = cells("merged_caller_rows"), cells("merged_sample_rows")
+    assert {k: v[9:] for k, v in caller.items()} == {1: ["0/1:3", "0/1:2", "0/1:4", "0/1:1"], 5: ["0/1:5"]}
+    assert {k: v[9:] for k, v in sample.items()} == {1: ["0/1:3", "0/0:.", "0/0:.", "0/1:2", "0/1:1"], 5: [*["0/0:."] * 4, "0/1:5"]}
+    assert [x[k][7].rpartition("SOURCES=")[2] for x in (caller, sample) for k in (1, 5)] == ["a,d,e", "e"] * 2

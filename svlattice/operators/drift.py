@@ -5,7 +5,8 @@ kind. `edit_script` is the top-down tree edit distance between two such trees (a
 a whole; labels are relabelled, siblings aligned at least cost), whose script holds keep, add, delete, rename, retype and
 move steps. A rename costs less than a delete and an add only for keys whose headers describe them alike, so the
 cheapest script is the wanted one. Scripts of a series compile into one projection per file (old key -> lasting key,
-common kind), which `unified_records` applies to the records.
+common kind). `unified_records` renames the keys and puts the kinds beside the maps; values stay text. `moves` joins steps
+of a script and isn't applied: a key that moves between info and format stays in two maps.
 
 Keys and kinds of a file come from one aggregate over the unpacked fields, keyed by (file, field, key) and combined
 before the shuffle; trees and scripts are of the size of schemas, never of the data.
@@ -218,20 +219,30 @@ def projections(events: DataFrame, headers: DataFrame, files: DataFrame) -> Data
 
 
 def unified_records(events: DataFrame, headers: DataFrame, files: DataFrame) -> DataFrame:
-    """ord, file_id, chrom, pos, sv_id, info, format: all records with their keys' lasting names.
+    """ord, file_id, chrom, pos, sv_id, info, format, info_kinds, format_kinds: all records with their keys' lasting names.
 
     info and format are maps of lasting key -> values joined by ','; of a key that a row repeats the last counts, and a
-    flag is 'true'. Each file's projection is one row (two maps) that joins by file, so the records are neither unpacked
+    flag is 'true'. The kinds are maps of the file's lasting keys -> the widest kind in the series, null where no file has
+    a value; the values aren't cast. Each file's projection is one row (two maps) that joins by file, so the records are neither unpacked
     to rows nor grouped again; a hot file's side is split by the adaptive skew join.
     """
     rules = projections(events, headers, files).groupBy("file_id").agg(
-        *(F.map_from_entries(F.collect_list(F.when(F.col("fld") == f, F.struct("key", "lasting_key")))).alias(f"_{f}") for f in ("info", "format"))
+        *(F.map_from_entries(F.collect_list(F.when(F.col("fld") == f, F.struct("key", "lasting_key")))).alias(f"_{f}") for f in ("info", "format")),
+        *(_kinds(F.collect_list(F.when(F.col("fld") == f, F.struct("lasting_key", "kind")))).alias(f"{f}_kinds") for f in ("info", "format")),
     )
     rows = events.select("ord", "file_id", "chrom", "pos", "sv_id", "info_raw", "format_raw", "sample_raw").join(rules, "file_id", "left")
     rows = sample_pairs(info_pairs(rows, "info_raw", "_ip"), "sample_raw", "format_raw", "_fp")
-    same = ["ord", "file_id", "chrom", "pos", "sv_id"]
-    rows = rows.select(*same, _renamed("_ip", "_info").alias("_i"), _renamed("_fp", "_format").alias("_f"))
-    return rows.select(*same, _last_of_each("_i").alias("info"), _last_of_each("_f").alias("format"))
+    same, kinds = ["ord", "file_id", "chrom", "pos", "sv_id"], ["info_kinds", "format_kinds"]
+    rows = rows.select(*same, *kinds, _renamed("_ip", "_info").alias("_i"), _renamed("_fp", "_format").alias("_f"))
+    return rows.select(*same, _last_of_each("_i").alias("info"), _last_of_each("_f").alias("format"), *kinds)
+
+
+def _kinds(rules: Column) -> Column:
+    """A map of lasting key -> kind, the widest one of keys that share a lasting name."""
+    order = F.array(*map(F.lit, KINDS))
+    widest = lambda k: F.array_max(F.transform(F.filter(rules, lambda x: x["lasting_key"] == k), lambda x: F.array_position(order, x["kind"])))
+    keys = F.array_distinct(F.transform(rules, lambda x: x["lasting_key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(order, (widest(k) - 1).cast("int"))))
 
 
 def _renamed(pairs: str, rules: str) -> Column:

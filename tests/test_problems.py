@@ -84,6 +84,13 @@ def test_unified_records(spark):
     assert rows[3].format == {"GT": "0/1", "DP": "4"} and rows[6].info is None and rows[7].info == {"Q": "1"} and rows[5].format is None
 
 
+def test_unified_kinds(spark):
+    rows = {r.ord: r for r in drift.unified_records(*drift_tables(spark)).collect()}
+    assert rows[1].info_kinds == {"A": "float", "NEW": "string", "F": "integer"} and rows[1].format_kinds == {"GT": "string"}
+    assert rows[3].info_kinds == rows[1].info_kinds and rows[3].format_kinds == {"GT": "string", "DP": "string"}
+    assert rows[5].info_kinds == {"Z": "integer"} and rows[7].info_kinds is None
+
+
 def test_quote_automaton_over_chunks():
     rng = np.random.default_rng(1)
     for _ in range(60):

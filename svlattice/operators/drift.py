@@ -219,10 +219,11 @@ def projections(events: DataFrame, headers: DataFrame, files: DataFrame) -> Data
 
 
 def unified_records(events: DataFrame, headers: DataFrame, files: DataFrame) -> DataFrame:
-    """ord, file_id, chrom, pos, sv_id, info, format, info_kinds, format_kinds: all records with their keys' lasting names.
+    """ord, file_id, chrom, pos, sv_id, info, format, info_values, format_values, info_kinds, format_kinds: all records with their keys' lasting names.
 
     info and format are maps of lasting key -> values joined by ','; of a key that a row repeats the last counts, and a
-    flag is 'true'. The kinds are maps of the file's lasting keys -> the widest kind in the series, null where no file has
+    flag is 'true'. info_values and format_values are maps of lasting key -> array of the single values, of a repeated key
+    all in order; a flag's is empty. The kinds are maps of the file's lasting keys -> the widest kind in the series, null where no file has
     a value; the values aren't cast. Each file's projection is one row (two maps) that joins by file, so the records are neither unpacked
     to rows nor grouped again; a hot file's side is split by the adaptive skew join.
     """
@@ -234,7 +235,7 @@ def unified_records(events: DataFrame, headers: DataFrame, files: DataFrame) ->
     rows = sample_pairs(info_pairs(rows, "info_raw", "_ip"), "sample_raw", "format_raw", "_fp")
     same, kinds = ["ord", "file_id", "chrom", "pos", "sv_id"], ["info_kinds", "format_kinds"]
     rows = rows.select(*same, *kinds, _renamed("_ip", "_info").alias("_i"), _renamed("_fp", "_format").alias("_f"))
-    return rows.select(*same, _last_of_each("_i").alias("info"), _last_of_each("_f").alias("format"), *kinds)
+    return rows.select(*same, _last_of_each("_i").alias("info"), _last_of_each("_f").alias("format"), _all_of_each("_i").alias("info_values"), _all_of_each("_f").alias("format_values"), *kinds)
 
 
 def _kinds(rules: Column) -> Column:
@@ -246,11 +247,18 @@ def _kinds(rules: Column) -> Column:
 
 
 def _renamed(pairs: str, rules: str) -> Column:
-    return F.transform(pairs, lambda x: F.struct(F.coalesce(F.try_element_at(F.col(rules), x["key"]), x["key"]).alias("key"), x["val"].alias("val")))
+    return F.transform(pairs, lambda x: F.struct(F.coalesce(F.try_element_at(F.col(rules), x["key"]), x["key"]).alias("key"), x["val"].alias("val"), x["vals"].alias("vals")))
 
 
 def _last_of_each(pairs: str) -> Column:
     """A map of the pairs, the last one of equal keys; rows whose keys differ, nearly all, take the short way."""
     keys = F.array_distinct(F.col(pairs)["key"])
     last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda x: x["key"] == k), -1)["val"])
-    return F.when(F.size(keys) == F.size(pairs), F.map_from_entries(pairs)).otherwise(F.map_from_arrays(keys, last))
+    return F.when(F.size(keys) == F.size(pairs), F.map_from_arrays(keys, F.col(pairs)["val"])).otherwise(F.map_from_arrays(keys, last))
+
+
+def _all_of_each(pairs: str) -> Column:
+    """A map of the pairs' single values, those of equal keys one after another."""
+    keys = F.array_distinct(F.col(pairs)["key"])
+    every = F.transform(keys, lambda k: F.flatten(F.filter(pairs, lambda x: x["key"] == k)["vals"]))
+    return F.when(F.size(keys) == F.size(pairs), F.map_from_arrays(keys, F.col(pairs)["vals"])).otherwise(F.map_from_arrays(keys, every))

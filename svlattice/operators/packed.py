@@ -144,7 +144,10 @@ def sample_items(df: DataFrame, raw: str, format_raw: str, keep: list[str], keys
 
 
 def info_pairs(df: DataFrame, raw: str, name: str) -> DataFrame:
-    """df + an array of (key, val) per row, the values of an item joined by ',' and a flag's being 'true'; null for null."""
+    """df + an array of (key, val, vals) per row, null for null.
+
+    vals are the single values as of `info_items`, none for a flag; val has them joined by ',', and 'true' for a flag.
+    """
     keep = df.columns
     df = df.select(*keep, escape(F.col(raw)).alias("_t"))
     df = df.select(*keep, "_t", mark(F.col("_t"), INFO_SPAN, f"$1$2$3{SPAN}$4{SPAN}", "[\"']").alias("_p"))
@@ -153,15 +156,18 @@ def info_pairs(df: DataFrame, raw: str, name: str) -> DataFrame:
 
     def pair(x: Column) -> Column:
         eq = F.instr(x, "=")
-        rest = F.filter(F.transform(F.split(F.substring(x, eq + 1, F.length(x)), ",", -1), lambda v: F.trim(v)), lambda v: v != "")
+        given = F.transform(F.split(F.substring(x, eq + 1, F.length(x)), ",", -1), lambda v: F.trim(v))
+        rest = F.filter(given, lambda v: v != "")
+        single = F.when(F.size(rest) == 0, F.array(F.lit(""))).otherwise(F.transform(rest, lambda v: restore(v, F.col("_p"))))
+        vals = F.when(eq == 0, F.array().cast("array<string>")).otherwise(single)
         key = F.when(eq > 0, F.trim(F.substring(x, F.lit(1), eq - 1))).otherwise(x)
-        return F.struct(restore(key, F.col("_p")).alias("key"), F.when(eq == 0, "true").otherwise(restore(F.array_join(rest, ","), F.col("_p"))).alias("val"))
+        return F.struct(restore(key, F.col("_p")).alias("key"), F.when(eq == 0, "true").otherwise(restore(F.array_join(rest, ","), F.col("_p"))).alias("val"), vals.alias("vals"))
 
     return df.select(*keep, F.transform("_i", pair).alias(name))
 
 
 def sample_pairs(df: DataFrame, raw: str, format_raw: str, name: str) -> DataFrame:
-    """df + an array of (key, val) per row: format keys with their sample items ('' where the sample is shorter)."""
+    """df + an array of (key, val, vals) per row: format keys with their sample items ('' and no vals where the sample is shorter)."""
     keep = df.columns
     df = df.select(*keep, escape(F.coalesce(F.col(raw), F.lit(""))).alias("_t"), escape(F.col(format_raw)).alias("_f"))
     pieces, held, separator = format_parts(F.col("_f"))
@@ -172,7 +178,8 @@ def sample_pairs(df: DataFrame, raw: str, format_raw: str, name: str) -> DataFra
     df = df.select(*keep, "_fq", "_fh", "_s", "_p", template(F.col("_t"), F.col("_p")).alias("_h"))
     df = df.select(*keep, "_fq", "_p", _by_separator(F.col("_s"), _cut(F.col("_h"))).alias("_c"), _by_separator(F.col("_s"), _cut(F.col("_fh"))).alias("_k"))
     pair = lambda k, i: F.struct(
-        restore(F.trim(k), F.col("_fq")).alias("key"), restore(F.trim(F.coalesce(F.get(F.col("_c"), i), F.lit(""))), F.col("_p")).alias("val")
+        restore(F.trim(k), F.col("_fq")).alias("key"), restore(F.trim(F.coalesce(F.get(F.col("_c"), i), F.lit(""))), F.col("_p")).alias("val"),
+        F.coalesce(F.transform(F.split(F.get(F.col("_c"), i), ",", -1), lambda v: restore(F.trim(v), F.col("_p"))), F.array().cast("array<string>")).alias("vals"),
     )
     return df.select(*keep, F.when(F.col(format_raw).isNotNull(), F.transform("_k", pair)).alias(name))
 

@@ -91,6 +91,16 @@ def test_unified_kinds(spark):
     assert rows[5].info_kinds == {"Z": "integer"} and rows[7].info_kinds is None
 
 
+def test_unified_values(spark):
+    events, headers, files = drift_tables(spark)
+    more = [(20, 10, 'Q="x,y";L=x,y;F;T=true;A=1;A=2,3;E=', "GT:AD:DP", '0/1:"3,4",5')]
+    events = events.unionByName(spark.createDataFrame(more, "ord long, file_id long, info_raw string, format_raw string, sample_raw string").withColumns({"chrom": F.lit("c"), "pos": F.lit(1), "sv_id": F.lit("i"), "key": F.lit("clash")}))
+    rows = {r.ord: r for r in drift.unified_records(events, headers, files).collect()}
+    assert rows[20].info_values == {"Q": ["x,y"], "L": ["x", "y"], "F": [], "T": ["true"], "A": ["1", "2", "3"], "E": [""]}
+    assert rows[20].format_values == {"GT": ["0/1"], "AD": ["3,4", "5"], "DP": []} and rows[20].info["A"] == "2,3"
+    assert rows[2].info_values == {"A": ["2", "7"]} and rows[6].info_values is None and rows[5].format_values is None
+
+
 def test_quote_automaton_over_chunks():
     rng = np.random.default_rng(1)
     for _ in range(60):

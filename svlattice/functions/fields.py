@@ -5,8 +5,6 @@ All are built-in expressions; a field that is missing, empty or not of the wante
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +13,10 @@ INFO_ORDER = ("SVTYPE", "END", "SVLEN", "CHR2", "SUPPORT", "SVMETHOD", "RTID", "
 FORMAT_ORDER = ("GT", "AD", "LN", "ST", "QV", "TY", "ID", "SC", "REF", "ALT", "CO")
 #: Other names of SUPPORT, the first present one counts.
 SUPPORT_ALIASES = ("SUPP", "SUPPREAD", "WEIGHT", "RE")
-#: Caller names by priority.
+#: Caller names, in the order in which they are looked for and by priority.
 CALLERS = ("svim", "pbsv", "cutesv", "sniffles", "debreak", "manta", "delly", "svaba", "svdss")
-PRIORITY = ("cutesv", "sniffles", "svim", "pbsv", "debreak", "svdss", "manta", "delly", "svaba")
+#: Sample keys whose values may hold ':' themselves.
+SWALLOWING = ("ALT", "CO", "REF")
 CANONICAL_TYPES = ("INV", "INS", "DEL", "TRA", "DUP")
 
 
@@ -66,23 +65,28 @@ def sample_text(sample: Column, fmt: Column, key: str) -> Column:
     return F.get(F.split(sample, ":", -1), (F.array_position(F.split(fmt, ":", -1), F.lit(key)) - 1).cast("int"))
 
 
-def sample_tail(sample: Column, fmt: Column, key: str) -> Column:
-    """The rest of the sample from the key on, if no earlier key may hold ':' itself (ALT, CO, REF): such a key swallows the rest."""
-    keys = F.split(fmt, ":", -1)
-    at = F.array_position(keys, F.lit(key)).cast("int")
-    others = [F.array_position(keys, F.lit(k)) for k in ("ALT", "CO", "REF") if k != key]
-    first = reduce(lambda a, b: a & b, ((o == 0) | (o > at) for o in others))
-    parts = F.split(sample, ":", -1)
-    return F.when((at > 0) & first & (F.size(parts) >= at), F.array_join(F.slice(parts, at, F.greatest(F.size(parts), F.lit(1))), ":"))
+def corrected_cells(sample: Column, fmt: Column) -> tuple[Column, Column]:
+    """Keys and values of a corrected record's sample, two arrays for `cell`.
+
+    The first key that may hold ':' itself takes the whole rest of the sample, and the keys after it have no value. Keys
+    that the sample is too short for have none either.
+    """
+    keys, parts = F.split(fmt, ":", -1), F.split(sample, ":", -1)
+    place = lambda k: F.nullif(F.array_position(keys, F.lit(k)), F.lit(0))
+    at = F.least(*map(place, SWALLOWING)).cast("int")
+    rest = F.array_join(F.slice(parts, at, F.greatest(F.size(parts), F.lit(1))), ":")
+    swallowed = F.when(F.size(parts) >= at - 1, F.concat(F.slice(parts, F.lit(1), at - 1), F.array(rest)))
+    return F.slice(keys, F.lit(1), F.coalesce(at, F.size(keys))), F.coalesce(F.when(at.isNotNull(), swallowed), parts)
+
+
+def cell(keys: Column, values: Column, key: Column) -> Column:
+    """The value of the last of equal keys, null without one."""
+    back = F.array_position(F.reverse(keys), key).cast("int")
+    return F.when(back > 0, F.get(values, F.size(keys) - back))
 
 
-def sample_map(sample: Column, fmt: Column) -> Column:
-    """Format keys to sample values as far as both reach; the last of equal keys."""
-    keys, values = F.split(fmt, ":", -1), F.split(sample, ":", -1)
-    n = F.least(F.size(keys), F.size(values))
-    used = F.slice(keys, 1, n)
-    distinct = F.array_distinct(used)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.get(values, F.size(used) - F.array_position(F.reverse(used), k).cast("int"))))
+def corrected_text(sample: Column, fmt: Column, key: str) -> Column:
+    return cell(*corrected_cells(sample, fmt), F.lit(key))
 
 
 DECIMAL = r"^\s*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"
@@ -140,9 +144,9 @@ def caller_name(source: Column) -> Column:
 
 
 def caller_score(caller: Column) -> Column:
-    """(10 - rank + 1) / 10 * 10 with rank 1 for the first of PRIORITY and 10 for others."""
+    """(10 - rank + 1) / 10 * 10 with rank 1 for the first of CALLERS and 10 for others."""
     out = F.when(F.lit(False), F.lit(0.0))
-    for i, c in enumerate(PRIORITY):
+    for i, c in enumerate(CALLERS):
         out = out.when(caller == c, F.lit((10 - (i + 1) + 1) / 10 * 10))
     return out.otherwise(F.lit(1 / 10 * 10))
 
@@ -154,11 +158,16 @@ def total_score(support: Column, qual: Column, caller: Column) -> Column:
     return by_support * 0.5 + by_qual * 0.3 + caller_score(caller) * 0.2
 
 
+#: The size bins, by their inclusive upper ends.
+SIZE_BINS = {50: "0-50 bp", 100: "51-100 bp", 500: "101-500 bp", 1000: "501-1 kb", 10000: "1 kb-10 kb"}
+LAST_SIZE_BIN = ">10 kb"
+
+
 def size_bin(size: Column) -> Column:
-    return (
-        F.when(size <= 50, "0-50 bp").when(size <= 100, "51-100 bp").when(size <= 500, "101-500 bp")
-        .when(size <= 1000, "501-1 kb").when(size <= 10000, "1 kb-10 kb").otherwise(">10 kb")
-    )
+    out = F.when(F.lit(False), "")
+    for top, name in SIZE_BINS.items():
+        out = out.when(size <= top, name)
+    return out.otherwise(LAST_SIZE_BIN)
 
 
 def strand_of_bed(strand: Column) -> Column:
@@ -185,11 +194,6 @@ def event_sequence(info: Column, alt: Column) -> Column:
     return F.coalesce(info_text(info, "SVSEQ"), info_text(info, "SEQ"), F.when((F.length(alt) > 1) & ~alt.startswith("<"), alt))
 
 
-def sequence_similarity(a: Column, b: Column) -> Column:
-    """1 for a missing sequence, else equality."""
-    return F.when(a.isNull() | b.isNull(), 1.0).otherwise((a == b).cast("double"))
-
-
 def reciprocal_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """The smaller share of the two half-open spans that their overlap takes, 0 if there is none."""
     over = F.least(e1, e2) - F.greatest(s1, s2)

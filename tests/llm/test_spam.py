@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from svlattice.llm import spam
@@ -39,6 +41,39 @@ def test_not_spam(text):
     assert not spam.is_spam(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Twinkle twinkle little star\nHow I wonder what you are\nUp above the world so high\nLike a diamond in the sky", "Roses are red,\nViolets are blue,\nSugar is sweet,\nAnd so are you.",
+        "1. Introduction\n2. Methods\n3. Results\n4. Discussion\n5. References", "Introduction ........ 1\nMethods ........ 4\nResults ....... 9\nDiscussion ........ 12\nReferences ........ 15",
+        "hey can you look at the run from yesterday and tell me what you think of it", "We saw <s> in the text, and it is a control token of no meaning here.",
+    ],
+)
+def test_verses_contents_and_plain_lines(text):
+    assert not spam.is_spam(text)
+
+
+def test_keywords_without_repeats():
+    assert spam.is_spam("buy viagra online cheap pills discount pharmacy order now best price free shipping overnight")
+    assert spam.is_spam("cheap sequencing\ngene test\nread aligner\nbam viewer\nvcf converter\nexome offer\ntumour panel")
+
+
+def test_few_shapes_decide():
+    """Many small shapes of non-sentences don't make a page spam, few large ones do."""
+    kinds = ["d | e | f", "#a #b #c", "http://a.test/b", "<p>word</p>", "X USD 1.00", "one one one one one one"]
+    shapes = spam.page_shapes("\n".join(kinds))
+    assert len({s[1] for s in shapes}) == len(kinds) and all(s[0] == spam.OTHER for s in shapes)
+    assert spam.is_spam("\n".join(kinds)) and not spam.is_spam("\n".join(kinds), few=2)
+
+
+@pytest.mark.parametrize("unit", ["a-", "a.", "A-", "//", "#", "a/", "'a", "[1] ", "EUR ", "AB-12 ", "<a ", '"', ". )", "x"])
+def test_time_is_linear(unit):
+    """A megabyte of one unit, with and without a text before it."""
+    began = time.process_time()
+    spam.is_spam("see a.b " + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 5
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, SPAM[0]), (2, REAL), (3, None), (4, ""), (1, SPAM[0])], "doc_id long, text string")
     assert [r.doc_id for r in spam.spam_pages(df, "doc_id", "text").collect()] == [1, 1]

@@ -12,14 +12,19 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import regex
 
 #: Fixed value: the public pre-tokenizer pattern of this vocabulary.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of ASCII characters alone, where the standard engine will do.
+ASCII_WORDS = r"""(?a:'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+)"""
+ID_BYTES = array("i").itemsize
 MOST_STATES = 200_000
+NEVER = 1 << 60
 MOST_WORDS = 300_000
 
 
@@ -40,16 +45,17 @@ class Transducer:
         self.tokens = {i: b for b, i in ranks.items()}
         self.prefixes = {b[:n] for b in ranks for n in range(1, len(b))}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._spines: dict[int, tuple[list, list]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.start = _State(b"", [-1], [0], [0])
         self.states = {(-1, b""): self.start}
 
-    def _merge(self, data: bytes) -> list[int]:
-        """The defining procedure: merge the neighbours of lowest rank, the leftmost first, until none merge."""
+    def _merge(self, data: bytes, down_to: int = 1) -> list[int]:
+        """The defining procedure: merge the neighbours of lowest rank, the leftmost first, until none merge or few parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             pairs = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
             if not pairs:
                 break
@@ -57,34 +63,74 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _spine(self, token: int) -> tuple[list, list]:
+        """The outermost parts of a token on its left and on its right, from the single byte up to itself, each with the rank at which it merges into the next."""
+        known = self._spines.get(token)
+        if known is None:
+            data = self.tokens[token]
+            if len(data) == 1:
+                known = ([(data, NEVER)], [(data, NEVER)])
+            else:
+                first, last = self._merge(data, 2)
+                low, high = self._spine(first)[0], self._spine(last)[1]
+                known = ([*low[:-1], (low[-1][0], token), (data, NEVER)], [*high[:-1], (high[-1][0], token), (data, NEVER)])
+            self._spines[token] = known
+        return known
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens may stand side by side in a merge result."""
+        """Whether the two tokens may stand side by side in a merge result.
+
+        Merges go by rising rank, as a token's parts have lower ranks than it. So the parts that meet at the boundary are
+        followed in that order; the tokens fit unless two of them would merge before either goes into its own token.
+        """
         if left < 0:
             return True
         known = self._fits.get((left, right))
         if known is None:
             if len(self._fits) > 4 * MOST_STATES:
                 self._fits.clear()
-            known = self._fits[left, right] = self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
+            before, after = self._spine(left)[1], self._spine(right)[0]
+            i = j = 0
+            known = True
+            while True:
+                (a, a_goes), (b, b_goes) = before[i], after[j]
+                across = self.ranks.get(a + b)
+                if across is not None and across < a_goes and across <= b_goes:
+                    known = False
+                    break
+                if a_goes == b_goes == NEVER:
+                    break
+                if a_goes <= b_goes:
+                    i += 1
+                else:
+                    j += 1
+            self._fits[left, right] = known
         return known
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         data = state.bytes + bytes((byte,))
         n = len(data)
+        found, start, active = None, 0, []
         for k in state.active:  # ascending, so the longest token comes first; just one fits
-            token = self.ranks.get(data[k:])
-            if token is not None and self.fits(state.last[k], token):
-                break
-        else:
+            tail = data[k:]
+            if found is None:
+                token = self.ranks.get(tail)
+                if token is not None and self.fits(state.last[k], token):
+                    found, start = token, k
+            if tail in self.prefixes:
+                active.append(k)
+        if found is None:
             raise ValueError("the vocabulary lacks a byte or is not closed under its merges")
-        last, back = [*state.last, token], [*state.back, k]
-        active = [k for k in state.active if data[k:] in self.prefixes] + [n]
-        open_ = set(active)
-        while len(open_) > 1:
-            top = max(open_)
-            open_.remove(top)
-            open_.add(back[top])
-        (settled,) = open_
+        active.append(n)
+        last, back = [*state.last, found], [*state.back, start]
+        settled = n
+        if len(active) > 1:
+            open_ = set(active)
+            while len(open_) > 1:
+                top = max(open_)
+                open_.remove(top)
+                open_.add(back[top])
+            (settled,) = open_
         out, p = [], settled
         while p:
             out.append(last[p])
@@ -100,6 +146,9 @@ class Transducer:
         return made
 
     def encode(self, word: bytes) -> tuple[int, ...]:
+        whole = self.ranks.get(word)
+        if whole is not None:  # a token is the merge result of its own bytes
+            return (whole,)
         state, out = self.start, []
         for byte in word:
             known = state.next.get(byte)
@@ -116,15 +165,15 @@ class Transducer:
 
 
 class _Words(dict):
-    """Outputs of whole words, so that frequent words take one lookup; starts anew at its limit."""
+    """Outputs of whole words as native 32-bit integers, so that frequent words take one lookup; starts anew at its limit."""
 
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
             self.clear()
-        ids = self.transducer.encode(word.encode("utf-8", "surrogatepass"))
+        ids = array("i", self.transducer.encode(word.encode("utf-8", "surrogatepass"))).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -134,14 +183,21 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.transducer = Transducer(ranks)
         self._cut = regex.compile(WORDS).findall
+        self._cut_ascii = re.compile(ASCII_WORDS).findall
         self._words = _Words(self.transducer)
 
+    def packed(self, text: str | None) -> bytes:
+        """Token ids of a text as native 32-bit integers; of a null or empty text none."""
+        if not text:
+            return b""
+        cut = self._cut_ascii if text.isascii() else self._cut
+        return b"".join(map(self._words.__getitem__, cut(text)))
+
     def encode(self, text: str | None) -> list[int]:
-        """Token ids of a text; of a null or empty text none."""
-        return list(chain.from_iterable(map(self._words.__getitem__, self._cut(text)))) if text else []
+        return memoryview(self.packed(text)).cast("i").tolist()
 
     def count(self, text: str | None) -> int:
-        return sum(map(len, map(self._words.__getitem__, self._cut(text)))) if text else 0
+        return len(self.packed(text)) // ID_BYTES
 
 
 class Utf8Machine:

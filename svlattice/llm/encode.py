@@ -20,12 +20,12 @@ def token_ids(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """key, ids: the token ids of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.encoder(vocabulary).encode
+        packed = bpe.encoder(vocabulary).packed
         for batch in batches:
-            lists = [encode(t) for t in batch.column(1).to_pylist()]
+            lists = [packed(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(offsets[-1]))
+            np.cumsum([len(x) // bpe.ID_BYTES for x in lists], out=offsets[1:])
+            flat = np.frombuffer(b"".join(lists), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[key, "ids"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, ids array<int>")

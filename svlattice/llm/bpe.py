@@ -14,7 +14,8 @@ import base64
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import regex
 
@@ -272,19 +273,18 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def read_ranks(data: bytes) -> dict[bytes, int]:
     """Token bytes and ids of a vocabulary file with one base64 token and its rank per line."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
 _loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder of a vocabulary; Python workers that are used again keep it."""
+def encoder(path: str, data: Callable[[], bytes] | None = None) -> Encoder:
+    """This process's encoder of a vocabulary; Python workers that are used again keep it. data gives the file's bytes where the path can't be read."""
     if path not in _loaded:
-        _loaded[path] = Encoder(load_ranks(path))
+        _loaded[path] = Encoder(read_ranks(data() if data else Path(path).read_bytes()))
     return _loaded[path]
 
 

@@ -6,7 +6,8 @@ look like control tokens are ordinary text. Rows with equal texts each get their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,18 @@ from pyspark.sql import functions as F
 from svlattice.llm import bpe
 
 
+def _shipped(df: DataFrame, vocabulary: str) -> Callable[[], bpe.Encoder]:
+    """The encoder for use in workers. The driver reads the file; its bytes, of a fixed size of about a megabyte, go out with the job."""
+    data = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    return lambda: bpe.encoder(vocabulary, lambda: data.value)
+
+
 def token_ids(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """key, ids: the token ids of every text."""
+    shipped = _shipped(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = bpe.encoder(vocabulary).packed
+        packed = shipped().packed
         for batch in batches:
             lists = [packed(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
@@ -33,9 +41,10 @@ def token_ids(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
 
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """key, n_tokens: the number of tokens of every text; the ids aren't kept."""
+    shipped = _shipped(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = bpe.encoder(vocabulary).count
+        count = shipped().count
         for batch in batches:
             n = pa.array([count(t) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], names=[key, "n_tokens"])
@@ -45,9 +54,10 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFra
 
 def decoded(df: DataFrame, key: str, ids: str, vocabulary: str) -> DataFrame:
     """key, text: the texts of lists of ids, by streaming decode; a null list gives null."""
+    shipped = _shipped(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = bpe.Decoder(bpe.encoder(vocabulary).transducer.ranks).decode
+        decode = bpe.Decoder(shipped().transducer.ranks).decode
         for batch in batches:
             texts = pa.array([None if x is None else decode(x) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=[key, "text"])

@@ -4,8 +4,9 @@ Method: vertices hash into P blocks and an edge lies in the cell of its two bloc
 edges is spread over P cells. Every task runs union-find over the edges of its cells and keeps, for each vertex, the
 smallest vertex it reaches there (at most one row per vertex and task). Row and column representatives of a vertex are
 then exchanged: the smallest becomes its parent, the others are linked to it. A vertex that represents nobody is then a
-leaf and leaves for good with its parent; the links and the parent edges of the rest form the next, smaller edge set.
-When no link is left the parents are followed by doubling until they stabilise. Edge sets are checkpointed each round in
+leaf and leaves for good with its parent; the links and the parent edges of the rest form the next, smaller edge set. The
+number of blocks follows that set, so rounds end when it is empty or fits one cell. The parents of each round are then
+looked up among those of the later, smaller rounds, from the last to the first. Edge sets are checkpointed each round in
 the folder all executors share; nothing is collected but counts.
 
 Defined results: null names link nothing; a row that is in no match is its own group; self matches, repeats, either
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from svlattice.session import cut_lineage
 
 EDGES_PER_CELL = 250_000
-LEAST_BLOCKS = 4
+#: Up to so many rounds are resolved in one plan, more with a checkpoint between each.
+FEW_ROUNDS = 4
 UNDELIVERED = 1 << 62
 
 
@@ -68,38 +70,40 @@ def _local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def n_blocks(n_edges: int) -> int:
-    return max(LEAST_BLOCKS, math.ceil(math.sqrt(2 * n_edges / EDGES_PER_CELL)))
+    return max(1, math.ceil(math.sqrt(2 * n_edges / EDGES_PER_CELL)))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """vertex, root of every vertex of edges (u, v) that isn't the smallest of its component."""
     active = cut_lineage(edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    parents, n, round_no = None, active.count(), 0
-    while True:
+    rounds, n = [], active.count()
+    while n:
         blocks = n_blocks(n)
-        block = lambda c, s=round_no, p=blocks: F.pmod(F.xxhash64(F.col(c), F.lit(s)), F.lit(p))
+        block = lambda c, s=len(rounds), p=blocks: F.pmod(F.xxhash64(F.col(c), F.lit(s)), F.lit(p))
         cells = active.repartition(max(1, blocks * (blocks + 1) // 2), F.least(block("u"), block("v")), F.greatest(block("u"), block("v")))
         forest = cells.mapInPandas(_local, "v long, r long")
-        # a vertex has at most one representative per task, so the set is bounded by the grid, not by the data
-        reps = cut_lineage(forest.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("reps")))
-        step = reps.select("v", "m")
-        links = reps.where(F.size("reps") > 1).select(F.col("m").alias("u"), F.explode("reps").alias("v")).where("u <> v")
-        round_no += 1
-        if not links.limit(1).count():
-            parents = step if parents is None else parents.unionByName(step)
+        if blocks == 1:  # the edges that are left lie in one cell, so its representatives are the roots
+            rounds.append(forest.select("v", F.col("r").alias("m")))
             break
-        held = reps.select(F.explode("reps").alias("v")).distinct()
-        leaves = step.join(held, "v", "left_anti")
-        parents = leaves if parents is None else parents.unionByName(leaves)
-        active = cut_lineage(links.unionByName(step.join(held, "v", "left_semi").select(F.col("m").alias("u"), "v")).distinct())
+        # of every vertex its representatives, and whether it represents others; at most one representative per task, so
+        # the sets are bounded by the grid, not by the data
+        both = forest.select(F.explode(F.array(F.struct("v", "r"), F.struct(F.col("r").alias("v"), F.lit(None).cast("long").alias("r")))).alias("_x")).select("_x.*")
+        reps = both.groupBy("v").agg(F.min("r").alias("m"), F.collect_set("r").alias("reps"), F.bool_or(F.col("r").isNull()).alias("held")).where("m is not null")
+        reps = cut_lineage(reps)
+        rounds.append(reps.where("not held").select("v", "m"))
+        links = reps.where(F.size("reps") > 1).select(F.col("m").alias("u"), F.explode("reps").alias("v")).where("u <> v")
+        active = cut_lineage(links.unionByName(reps.where("held").select(F.col("m").alias("u"), "v")).distinct())
         n = active.count()
-    while True:
-        up = parents.select(F.col("v").alias("m"), F.col("m").alias("_up"))
-        parents = cut_lineage(parents.join(up, "m", "left").select("v", F.coalesce("_up", "m").alias("m"), F.col("_up").isNotNull().alias("_moved")))
-        moved = parents.where("_moved").limit(1).count()
-        parents = parents.select("v", "m")
-        if not moved:
-            return parents.select(F.col("v").alias("vertex"), F.col("m").alias("root"))
+    roots = None  # of the later rounds' vertices; a leaf's parent is never a leaf of the same round
+    for leaves in reversed(rounds):
+        if roots is not None:
+            later = roots.select(F.col("v").alias("m"), F.col("m").alias("_root"))
+            leaves = roots.unionByName(leaves.join(later, "m", "left").select("v", F.coalesce("_root", "m").alias("m")))
+            leaves = cut_lineage(leaves) if len(rounds) > FEW_ROUNDS else leaves
+        roots = leaves
+    if roots is None:
+        return active.select(F.col("v").alias("vertex"), F.col("u").alias("root"))
+    return roots.select(F.col("v").alias("vertex"), F.col("m").alias("root"))
 
 
 def file_part(name: Column) -> Column:

@@ -13,6 +13,7 @@ from svlattice.functions import fields
 from svlattice.operators import pairing
 from svlattice.operators.events import caller_events
 from svlattice.operators.filters import Limits, passing
+from svlattice.session import cut_lineage
 
 METHOD = "svlattice"
 KEPT, PAIRED, MATES, SPECIAL, SINGLE, OTHER = range(6)
@@ -53,7 +54,9 @@ def corrected(records: DataFrame, tolerance: int = 3, limits: Limits = Limits(),
     by: columns that tell files apart; records pair only within them, so a table of many files is corrected at once.
     """
     # breakends are few; a plain text test keeps their branches from parsing all other records
+    # and they are written once, as every branch reads them
     events = passing(caller_events(records.where(F.contains("info_raw", F.lit("SVTYPE=BND")))), limits)
+    events = cut_lineage(events.where(F.col("route") != "other"))
     zero = F.lit(0).cast("long")
     parts = []
 

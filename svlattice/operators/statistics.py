@@ -1,13 +1,16 @@
 """Descriptive statistics of corrected records: typed tables; text is made of them only in the report sink.
 
-Each is one aggregate with partial sums before the shuffle. Exact quantiles come from the histogram of distinct values
-(combined before the shuffle too) and a running count over it, so no task sorts or holds the records.
+Each is one aggregate with partial sums before the shuffle. Exact quantiles take two: values are counted by their high
+bits (sign, exponent and `FINE` steps an octave, so the number of bins is bounded whatever the data), a running count over
+the bins finds the few that hold the wanted ranks, and only the values of those are counted one by one.
 
 Defined results: an empty table gives empty histograms and summaries of n = 0 with nulls; unreadable numbers are left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,28 +51,39 @@ def sizes(records: DataFrame, least: int = 50, most: int | None = None) -> DataF
     return df.where(F.col("size") <= most) if most else df
 
 
+#: Bins an octave of `high_bits`.
+FINE = 1024
+
+
+def high_bits(value: Column) -> Column:
+    """A whole number that never falls as the value rises: the sign and the binary logarithm in steps of 1 / `FINE`."""
+    step = lambda v: F.floor(F.log2(v) * FINE) + 2048 * FINE
+    return F.when(value > 0, step(value)).when(value < 0, -step(-value)).otherwise(F.lit(0)).cast("long")
+
+
 def quantiles(values: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """by + n, mean, median, least, most, q1, q3, stdev of a column; quartiles by the exclusive method (null below 4 values)."""
-    by = by or []
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    df = counts.withColumns({"_to": F.sum("_c").over(up), "n": F.sum("_c").over(all_)})
-    holds = lambda rank: F.max(F.when((rank > F.col("_to") - F.col("_c")) & (rank <= F.col("_to")), F.col(value)))
+    keys = [F.col(c) for c in by or []] or [F.lit(0).alias("_all")]
+    names = by or ["_all"]
+    values = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), high_bits(F.col(value).cast("double")).alias("_bin"))
     n = F.col("n")
     low = lambda k: F.greatest(F.lit(1), F.least(F.floor(k * (n + 1) / 4), n - 1))
-    summary = df.groupBy(*by, "n").agg(
-        F.sum(F.col(value) * F.col("_c")).alias("_sum"), F.min(value).alias("least"), F.max(value).alias("most"),
-        holds(F.floor((n + 1) / 2)).alias("_m1"), holds(F.floor(n / 2) + 1).alias("_m2"),
-        holds(low(1)).alias("_a1"), holds(low(1) + 1).alias("_b1"), holds(low(3)).alias("_a3"), holds(low(3) + 1).alias("_b3"),
-    )
+    ranks = {"_m1": F.floor((n + 1) / 2), "_m2": F.floor(n / 2) + 1, "_a1": low(1), "_b1": low(1) + 1, "_a3": low(3), "_b3": low(3) + 1}
+    whole = values.groupBy(*names).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.stddev_samp("_v").alias("stdev"))
+    bins = values.groupBy(*names, "_bin").agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_c").over(up), F.lit(0))).join(whole.select(*names, "n"), names)
+    inside = lambda r, count: (r > F.col("_before")) & (r <= F.col("_before") + F.col(count))
+    picked = bins.where(reduce(lambda a, b: a | b, (inside(r, "_c") for r in ranks.values()))).select(*names, "_bin", "n", F.col("_before").alias("_start"))
+    each = values.join(picked, [*names, "_bin"]).groupBy(*names, "_bin", "n", "_start", "_v").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*names, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("_before", F.col("_start") + F.coalesce(before, F.lit(0)))
+    found = each.groupBy(*names).agg(*(F.max(F.when(inside(r, "_c"), F.col("_v"))).alias(a) for a, r in ranks.items()))
     quartile = lambda k: F.when(n >= 4, (F.col(f"_a{k}") * (4 - (k * (n + 1) - 4 * low(k))) + F.col(f"_b{k}") * (k * (n + 1) - 4 * low(k))) / 4)
-    spread = values.groupBy(*by).agg(F.stddev_samp(value).alias("stdev")) if by else values.agg(F.stddev_samp(value).alias("stdev"))
-    summary = summary.select(
-        *by, "n", (F.col("_sum") / n).alias("mean"), ((F.col("_m1") + F.col("_m2")) / 2).alias("median"), F.col("least").cast("double"), F.col("most").cast("double"),
-        quartile(1).alias("q1"), quartile(3).alias("q3"),
+    return whole.join(found, names).select(
+        *(by or []), "n", "mean", ((F.col("_m1") + F.col("_m2")) / 2).alias("median"), F.col("least").cast("double"), F.col("most").cast("double"),
+        quartile(1).alias("q1"), quartile(3).alias("q3"), "stdev",
     )
-    return summary.join(spread, by) if by else summary.crossJoin(spread)  # two single rows
 
 
 def size_histogram(records: DataFrame, least: int = 50, most: int | None = None) -> DataFrame:
@@ -124,6 +138,7 @@ def genotype_histogram(records: DataFrame) -> DataFrame:
 def summary_text(records: DataFrame, input_name: str, output_name: str, least: int = 50, most: int | None = None) -> str:
     """The statistics report. Only histograms and single rows reach the driver; rows with equal counts come by name."""
 
+    # the labels below are fixed values
     def line(key: str, value: str) -> str:
         return f"{key:30} = {value}\n"
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +28,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write `df` to the checkpoint folder all executors share and read it from there.
 
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests, a single machine)
-    a local temporary folder is set.
+    The folder is the session's `spark.checkpoint.dir`. Where that is unset a single machine (tests) gets a temporary
+    folder, which is removed at the end; a cluster, whose machines don't share one, fails.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="svlattice-checkpoint-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not is_local(spark):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="svlattice-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than the cluster has cores (few or unsplittable files) is dealt out to all cores.
 

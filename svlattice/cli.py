@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svlattice.functions import fields
 from svlattice.operators import cluster, correct, sourcesets, statistics, truth
 from svlattice.operators.events import caller_events, corrected_events
 from svlattice.operators.filters import Limits, filter_statistics, known_types
-from svlattice.sinks import formats, text
+from svlattice.sinks import figures, formats, text
 from svlattice.sources import vcf
 
 
@@ -51,34 +52,45 @@ def run_merge(
     header = text.merged_header(contigs, shown if mode == "sample" else ["SAMPLE"], "SVCFv1.0" if mode == "sample" else "VCFv4.2")
     n = text.write_lines(make(chosen, members, formats.inputs(spark, sources, names)), ["out_key"], target, header)
     if upset:
-        rows = sourcesets.intersections(merged).select(F.concat_ws("\t", "sources_text", "n_files", "n").alias("line"), "n", "n_files", "sources_text")
-        text.write_lines(rows, [F.desc("n"), F.desc("n_files"), "sources_text"], upset, ["files\tn_files\tn"])
+        _write_upset(spark, merged, sources, upset)
     events.unpersist()
     membership.unpersist()
     return n
 
 
+#: The figure shows so many intersections, the largest ones; the table holds all.
+DRAWN = 60
+
+
+def _write_upset(spark: SparkSession, merged: DataFrame, sources: list[str], path: str) -> None:
+    """All intersections as a table, and beside it (.svg) the figure of the files and the largest intersections."""
+    sizes = sourcesets.intersections(merged)
+    text.write_lines(sizes.select(F.concat_ws("\t", "sources_text", "n_files", "n").alias("line"), "n", "n_files", "sources_text"), [F.desc("n"), F.desc("n_files"), "sources_text"], path, ["files\tn_files\tn"])
+    files = spark.createDataFrame([(f.rpartition("/")[2],) for f in sources], "file string")
+    totals = sourcesets.file_totals(merged, files).select(fields.short_name(F.col("file")).alias("file"), "n").collect()  # one row per input file
+    shown = F.transform(F.split("sources_text", ","), fields.short_name)
+    largest = sizes.select(shown.alias("files"), "n").limit(DRAWN).collect()
+    text.write_text(spark, path.removesuffix(".tsv") + ".svg", figures.upset([tuple(r) for r in totals], [tuple(r) for r in largest]))
+
+
 def run_benchmark(spark: SparkSession, truth_file: str, call_file: str, folder: str, criteria: truth.Criteria = truth.Criteria()) -> dict:
     t, c = (corrected_events(vcf.read_corrected_files(spark, [p])).cache() for p in (truth_file, call_file))
     pairs = truth.matches(t, c, criteria).cache()
-    Path(folder).mkdir(parents=True, exist_ok=True)
     for name, df in truth.outcome(t, c, pairs, criteria).items():
-        header = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
-        text.write_lines(formats.corrected_columns(df), ["ord"], str(Path(folder) / f"{name.replace('_', '-')}.vcf"), header)
-    metrics = truth.metrics(t, c, pairs, criteria)
-    text.write_summary(metrics, str(Path(folder) / "summary.json"))
-    return metrics.first().asDict()
+        text.write_lines(formats.corrected_columns(df), ["out_no"], f"{folder}/{name.replace('_', '-')}.vcf", [text.COLUMNS.rpartition("\t")[0]])
+    return text.write_summary(truth.metrics(t, c, pairs, criteria), f"{folder}/summary.json")
 
 
 def run_stat(spark: SparkSession, source: str, target: str, least: int = 50, most: int | None = None, report: bool = False) -> None:
     records = vcf.read_corrected_files(spark, [source]).cache()
-    Path(target).write_text(statistics.summary_text(records, source, target, least, most))
+    text.write_text(spark, target, statistics.summary_text(records, source, target, least, most))
     if report:
+        drawn = [draw(name, [(r["key"], r["n"]) for r in df.collect()]) for (name, df), draw in zip(plot_tables(spark, target).items(), PLOTS.values())]
         tables = {
             "Types": statistics.type_histogram(records), "Sizes": statistics.size_histogram(records, least, most), "Chromosomes": statistics.plot_density(records),
             "Quality": statistics.value_statistics(statistics.qualities(records)), "Filter": statistics.filter_histogram(records), "Genotypes": statistics.genotype_histogram(records),
         }
-        Path(target).with_suffix(".html").write_text(text.html_report("Structural variants", tables, {"Input": source, "Records": records.count()}))
+        text.write_text(spark, re.sub(r"\.[^./]*$", "", target) + ".html", text.html_report("Structural variants", tables, {"Input": source, "Records": records.count()}, drawn))
     records.unpersist()
 
 
@@ -87,6 +99,16 @@ PLOT_TYPES = ("DEL", "DUP", "INS", "INV", "TRA", "BND")
 PLOT_SIZES = ("0-50 bp", "51-100 bp", "101-500 bp", "501-1 kb", "1 kb-10 kb", ">10 kb")
 
 
+#: How each plot is drawn from (name, number) pairs.
+PLOTS = {
+    "types": lambda _, rows: figures.donut("SV types", sorted(rows, key=lambda r: PIE_ORDER.index(r[0]) if r[0] in PIE_ORDER else len(PIE_ORDER))),
+    "sizes": lambda _, rows: figures.bars("SV sizes", rows, "SVs"),
+    "chromosomes": lambda _, rows: figures.bars("SVs per Mb", [(k, round(n / (statistics.PLOT_LENGTHS[k] / 1e6), 1)) for k, n in rows], "SVs per Mb"),
+}
+#: The order of types around the ring; others follow.
+PIE_ORDER = ("TRA", "INV", "DUP", "INS", "DEL")
+
+
 def plot_tables(spark: SparkSession, report: str) -> dict[str, DataFrame]:
     """The data of the type, size and chromosome plots from a statistics report."""
     df = vcf.read_report(spark, report)
@@ -99,11 +121,16 @@ def plot_tables(spark: SparkSession, report: str) -> dict[str, DataFrame]:
     return out
 
 
+#: The names of the plots' files.
+PLOT_NAMES = {"types": "sv_types", "sizes": "sv_sizes", "chromosomes": "chromosome_distribution"}
+
+
 def run_plot(spark: SparkSession, report: str, prefix: str) -> None:
-    """Writes the plots' data; draws them too where a plotting package can be imported."""
+    """Writes the plots' data and SVG figures; PNG figures too where a plotting package can be imported."""
     for name, df in plot_tables(spark, report).items():
-        rows = df.collect()
-        Path(f"{prefix}_{name}.tsv").write_text("".join(f"{r['key']}\t{r['n']}\n" for r in rows))
+        rows = df.collect()  # a fixed list of names
+        text.write_text(spark, f"{prefix}_{name}.tsv", "".join(f"{r['key']}\t{r['n']}\n" for r in rows))
+        text.write_text(spark, f"{prefix}_{PLOT_NAMES[name]}.svg", PLOTS[name](name, [(r["key"], r["n"]) for r in rows]))
         try:
             from matplotlib import pyplot
         except ImportError:
@@ -111,7 +138,7 @@ def run_plot(spark: SparkSession, report: str, prefix: str) -> None:
         figure, axes = pyplot.subplots()
         axes.bar([r["key"] for r in rows], [r["n"] for r in rows])
         axes.tick_params(axis="x", rotation=90)
-        figure.savefig(f"{prefix}_{name}.png", bbox_inches="tight")
+        figure.savefig(f"{prefix}_{PLOT_NAMES[name]}.png", bbox_inches="tight")
         pyplot.close(figure)
 
 
@@ -142,7 +169,7 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     p = command("correct")
-    p.add_argument("--pos-tolerance", type=int, default=3)
+    p.add_argument("-pt", "--pos-tolerance", type=int, default=3)
     for name, kind in (("qual", float), ("support", int), ("depth", int), ("svlen", int)):
         p.add_argument(f"--min-{name}", type=kind)
         p.add_argument(f"--max-{name}", type=kind)
@@ -173,22 +200,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("truth_file")
     p.add_argument("call_file")
     p.add_argument("-o", "--output-dir", required=True)
-    p.add_argument("--reference-distance", type=int, default=500)
-    p.add_argument("--size-similarity", type=float, default=0.7)
-    p.add_argument("--reciprocal-overlap", type=float, default=0.0)
-    p.add_argument("--type-ignore", action="store_true")
-    p.add_argument("--size-min", type=int, default=50)
+    p.add_argument("-r", "--reference-distance", type=int, default=500)
+    p.add_argument("-P", "--size-similarity", type=float, default=0.7)
+    p.add_argument("-O", "--reciprocal-overlap", type=float, default=0.0)
+    p.add_argument("-t", "--type-ignore", action="store_true")
+    p.add_argument("-s", "--size-min", type=int, default=50)
     p.add_argument("--size-max", type=int, default=50_000)
     p.add_argument("--pass-only", action="store_true")
     p.add_argument("--enable-sequence-comparison", action="store_true")
-    p.add_argument("--sequence-similarity", type=float, default=0.7)
+    p.add_argument("-p", "--sequence-similarity", type=float, default=0.7)
     p.add_argument("--match-chrom", action="store_true", help="also require equal chromosomes outside of translocations")
 
     p = command("stat")
     p.add_argument("--min-size", type=int, default=50)
     p.add_argument("--max-size", type=int)
     p.add_argument("--report", action="store_true")
-    command("plot").add_argument("--prefix", dest="output_option2")
+    command("plot").add_argument("--output-prefix", "--prefix", dest="output_option2")
     for name in ("svcf2vcf", "svcf2bed", "svcf2bedpe"):
         p = command(name)
         if name != "svcf2vcf":

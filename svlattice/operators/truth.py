@@ -102,10 +102,11 @@ def matches(truth: DataFrame, calls: DataFrame, criteria: Criteria = Criteria())
 
 
 def outcome(truth: DataFrame, calls: DataFrame, pairs: DataFrame, criteria: Criteria = Criteria()) -> dict[str, DataFrame]:
-    """tp_base, tp_call, fp, fn: the eligible events of either side, matched or not."""
+    """tp_base, tp_call, fp, fn: the eligible events of either side, matched or not, with out_no: matched truth events come in the order of their calls."""
     truth, calls = eligible(truth, criteria), eligible(calls, criteria)
-    t, c = pairs.select(F.col("truth_ord").alias("ord")), pairs.select(F.col("call_ord").alias("ord"))
-    return {"tp_base": truth.join(t, "ord", "left_semi"), "tp_call": calls.join(c, "ord", "left_semi"), "fp": calls.join(c, "ord", "left_anti"), "fn": truth.join(t, "ord", "left_anti")}
+    t, c = pairs.select(F.col("truth_ord").alias("ord"), F.col("call_ord").alias("out_no")), pairs.select(F.col("call_ord").alias("ord"))
+    as_read = {"tp_call": calls.join(c, "ord", "left_semi"), "fp": calls.join(c, "ord", "left_anti"), "fn": truth.join(t, "ord", "left_anti")}
+    return {"tp_base": truth.join(t, "ord")} | {name: df.withColumn("out_no", F.col("ord")) for name, df in as_read.items()}
 
 
 def metrics(truth: DataFrame, calls: DataFrame, pairs: DataFrame, criteria: Criteria = Criteria()) -> DataFrame:

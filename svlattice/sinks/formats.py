@@ -71,9 +71,9 @@ def bedpe_rows(events: DataFrame, minimal: bool = False) -> DataFrame:
 
 
 def corrected_columns(events: DataFrame) -> DataFrame:
-    """ord, line with the eight fixed columns of corrected events, as written beside a benchmark; flags read True."""
+    """out_no, line with the eight fixed columns of corrected events, as written beside a benchmark; flags read True."""
     items = F.transform(fields.info_items_kept(F.col("info_raw")), lambda x: F.concat(x["k"], F.lit("="), F.coalesce(x["v"], F.lit("True"))))
-    return events.select("ord", _tabs(*(F.col(c) for c in ("chrom", "pos", "sv_id", "ref_seq", "alt", "qual", "filter_raw")), F.array_join(items, ";")).alias("line"))
+    return events.select("out_no", _tabs(*(F.col(c) for c in ("chrom", "pos", "sv_id", "ref_seq", "alt", "qual", "filter_raw")), F.array_join(items, ";")).alias("line"))
 
 
 def _laid_out(members: DataFrame, merged: DataFrame) -> DataFrame:

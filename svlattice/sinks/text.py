@@ -1,16 +1,13 @@
-"""Text sinks: one file with a header, rows in order. Rows stream through one writer task; none are collected."""
+"""Text sinks: one file with a header, rows in order. Rows go through the file system's streams; none are collected."""
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import tempfile
-from collections.abc import Iterator
+import uuid
 from datetime import datetime
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Header lines of the written formats.
 ALT_LINES = {"DEL": "Deletion", "INV": "Inversion", "INS": "Insertion", "DUP": "Duplication", "TRA": "Translocation", "BND": "Breakend"}
@@ -62,42 +59,76 @@ def vcf_header(contigs: list[str]) -> list[str]:
     return ["##fileformat=VCFv4.2", *contigs, *_declared("INFO", VCF_INFO), *_alts(("DEL", "INV", "DUP", "INS", "TRA")), *_declared("FORMAT", VCF_FORMAT), f"{COLUMNS}\tSample"]
 
 
+class OutputError(RuntimeError):
+    pass
+
+
+def _place(spark: SparkSession, path: str):
+    """File system and qualified path of a name, as Spark resolves it; local ones without checksum files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = files.makeQualified(path)
+    return (files.getRawFileSystem() if files.getUri().getScheme() == "file" else files), path
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """A small text that the driver holds as one file."""
+    files, target = _place(spark, path)
+    out = files.create(target, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
 def write_lines(rows: DataFrame, order: list[str | Column], path: str, header: list[str]) -> int:
-    """Writes header and the column `line` in order to one local or shared file; returns the number of rows.
+    """Writes header and the column `line` in order to one file; returns the number of rows.
 
-    The rows are sorted in parallel and written as parts, which are then joined; the driver holds one buffer at a time.
+    The rows are sorted in parallel and written as parts in a folder beside the target, which are then joined by the file
+    system's own streams, in the driver's JVM. On a cluster the target must lie on a file system that the driver and all
+    executors share; where parts are missing (each executor wrote to its own disk) the call fails and leaves no file.
     """
-    folder = tempfile.mkdtemp(prefix=".svlattice-", dir=os.path.dirname(os.path.abspath(path)))
+    spark = rows.sparkSession
+    files, target = _place(spark, path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".svlattice-{uuid.uuid4().hex}")
+    seen = Observation()
+    size = F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0))
     try:
-        parts = Path(folder) / "parts"
-        rows.orderBy(*order).select("line").write.text(str(parts))
-        temporary = Path(folder) / "joined"
-        n = 0
-        with temporary.open("wb") as out:
-            out.writelines(f"{h}\n".encode() for h in header)
-            for part in sorted(parts.glob("part-*")):
-                with part.open("rb") as f:
-                    for block in _blocks(f):
-                        n += block.count(b"\n")
-                        out.write(block)
-        os.replace(temporary, path)
-        return n
+        rows.orderBy(*order).select(F.coalesce("line", F.lit("")).alias("line")).observe(seen, F.count(F.lit(1)).alias("n"), size.alias("size")).write.text(folder.toString() + "/parts")
+        parts = sorted((p for p in files.listStatus(jvm.org.apache.hadoop.fs.Path(folder, "parts")) if p.getPath().getName().startswith("part-")), key=lambda p: p.getPath().getName())
+        found = sum(p.getLen() for p in parts)
+        if found != seen.get["size"]:
+            raise OutputError(f"{found} of {seen.get['size']} bytes reached {folder}: the folder of {path} isn't shared by the driver and all executors")
+        joined = jvm.org.apache.hadoop.fs.Path(folder, "joined")
+        out = files.create(joined, True)
+        out.write(bytearray("".join(f"{h}\n" for h in header).encode()))
+        for part in parts:
+            read = files.open(part.getPath())
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+            read.close()
+        out.close()
+        if files.exists(target):
+            files.delete(target, False)
+        if not files.rename(joined, target):
+            raise OutputError(f"{path} can't be written")
+        return seen.get["n"]
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        files.delete(folder, True)
 
 
-def _blocks(f) -> Iterator[bytes]:
-    while block := f.read(1 << 20):
-        yield block
+#: The names of the metrics in the written summary.
+SUMMARY = {"tp": "TP", "fp": "FP", "fn": "FN", "precision": "Precision", "recall": "Recall", "f1": "F1"}
 
 
-def write_summary(metrics: DataFrame, path: str) -> None:
+def write_summary(metrics: DataFrame, path: str) -> dict:
     """The single row of metrics as indented JSON."""
-    Path(path).write_text(json.dumps(metrics.first().asDict(), indent=4) + "\n")
+    row = metrics.first().asDict()
+    summary = {shown: row[name] for name, shown in SUMMARY.items()}
+    write_text(metrics.sparkSession, path, json.dumps(summary, indent=2))
+    return summary
 
 
-def html_report(title: str, tables: dict[str, DataFrame], summary: dict[str, object]) -> str:
-    """A self-contained page of small tables (histograms and single rows)."""
+def html_report(title: str, tables: dict[str, DataFrame], summary: dict[str, object], figures: list[str] = []) -> str:
+    """A self-contained page of figures and small tables (histograms and single rows)."""
     from html import escape
     from string import Template
 
@@ -109,7 +140,7 @@ def html_report(title: str, tables: dict[str, DataFrame], summary: dict[str, obj
 
     page = Template(
         "<!DOCTYPE html><html><head><meta charset='utf-8'><title>$title</title><style>body{font-family:sans-serif;margin:2em}"
-        "table{border-collapse:collapse}td,th{border:1px solid #999;padding:2px 8px}</style></head><body><h1>$title</h1>$summary$tables</body></html>"
+        "table{border-collapse:collapse}td,th{border:1px solid #999;padding:2px 8px}</style></head><body><h1>$title</h1>$summary$figures$tables</body></html>"
     )
     facts = "<ul>" + "".join(f"<li>{escape(k)}: {escape(str(v))}</li>" for k, v in summary.items()) + "</ul>"
-    return page.substitute(title=escape(title), summary=facts, tables="".join(f"<h2>{escape(k)}</h2>{grid(df)}" for k, df in tables.items()))
+    return page.substitute(title=escape(title), summary=facts, figures="".join(figures), tables="".join(f"<h2>{escape(k)}</h2>{grid(df)}" for k, df in tables.items()))

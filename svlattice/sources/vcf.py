@@ -6,8 +6,7 @@ offset, so `ord` is (file, block start, place in the block): monotonic within a
 
 from __future__ import annotations
 
-import os
-from urllib.parse import quote
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,15 +16,36 @@ from svlattice.functions import fields
 NAMES = ("chrom", "pos_raw", "sv_id", "ref_seq", "alt", "qual", "filter_raw", "info_raw", "format_raw", "sample_raw")
 
 
+def files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The URIs of all files that the paths name, in their order; those of a folder or a pattern by name."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        system = path.getFileSystem(conf)
+        for found in system.globStatus(path) or []:
+            inner = [s for s in system.listStatus(found.getPath()) if s.isFile() and s.getPath().getName()[:1] not in "._"] if found.isDirectory() else [found]
+            out += sorted(s.getPath().toUri().toString() for s in inner)
+    return list(dict.fromkeys(out))
+
+
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, file_idx, place (ascending in file order), line; compressed files read as one block."""
-    df = spark.read.text(paths).select(
+    """path, file_idx, place (ascending in file order), line; compressed files read as one block. A file that is named twice is read once."""
+    index = spark.createDataFrame(list(enumerate(map(_plain, files(spark, paths)))), "file_idx int, _uri string")
+    df = spark.read.text(list(dict.fromkeys(paths))).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")
     )
     # within a block ids ascend in reading order; blocks ascend by their start
-    ends = [quote(p.partition("://")[2] if "://" in p else os.path.abspath(p)) for p in paths]
-    index = F.coalesce(*(F.when(F.col("path").endswith(e), F.lit(i)) for i, e in enumerate(ends)), F.lit(len(paths)))
-    return df.select("path", index.alias("file_idx"), F.struct("_block", "_id").alias("place"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+    df = df.withColumn("_uri", F.regexp_replace("path", SLASHES, "/")).join(index, "_uri", "left")
+    unknown = F.raise_error(F.concat(F.lit("a file that wasn't listed: "), "path")).cast("int")
+    return df.select("path", F.coalesce("file_idx", unknown).alias("file_idx"), F.struct("_block", "_id").alias("place"), F.regexp_replace("line", r"\r\z", "").alias("line"))
+
+
+#: The slashes behind a scheme: one or three for local files.
+SLASHES = r"(?<=^file:)/+"
+
+
+def _plain(uri: str) -> str:
+    return re.sub(SLASHES, "/", uri)
 
 
 def numbered(records: DataFrame) -> DataFrame:
@@ -43,9 +63,9 @@ def numbered(records: DataFrame) -> DataFrame:
 
 
 def header_source(text: DataFrame) -> DataFrame:
-    """path, source: of each file the ##source line up to its first space."""
+    """path, source, svaba: of each file the last ##source line up to its first space or second '=', and whether any names svaba."""
     df = text.where(F.col("line").startswith("##source="))
-    return df.groupBy("path").agg(F.max_by(F.regexp_extract("line", r"^##source=([^ ]*)", 1), "place").alias("source"))
+    return df.groupBy("path").agg(F.max_by(F.regexp_extract("line", r"^##source=([^ =]*)", 1), "place").alias("source"), F.bool_or(F.contains(F.lower("line"), F.lit("svaba"))).alias("svaba"))
 
 
 def contig_lines(text: DataFrame) -> DataFrame:
@@ -65,13 +85,17 @@ def _split(text: DataFrame) -> DataFrame:
     return text.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("_c", F.split("line", "\t", -1))
 
 
+#: Numbers in words, which a quality may be too.
+SPECIAL = r"(?i)^[+-]?(?:nan|inf|infinity)\z"
+
+
 def check_format(text: DataFrame) -> DataFrame:
     """path, problem of every caller line that breaks the format: a space, under 8 columns, POS or QUAL that isn't a number; and files without a header."""
     df = _split(text)
     c = lambda i: F.get("_c", F.lit(i))
     problem = (
         F.when(F.contains(F.col("line"), F.lit(" ")), "space").when(F.size("_c") < 8, "columns").when(c(1).try_cast("bigint").isNull(), "pos")
-        .when((c(5) != ".") & c(5).try_cast("double").isNull(), "qual")
+        .when((c(5) != ".") & fields.number(c(5)).isNull() & ~c(5).rlike(SPECIAL), "qual")
     )
     bad = df.select("path", "line", problem.alias("problem")).where("problem is not null")
     without = text.groupBy("path").agg(F.bool_or(F.col("line").startswith("#")).alias("_h")).where("not _h").select("path", F.lit(None).cast("string").alias("line"), F.lit("no header").alias("problem"))
@@ -87,8 +111,7 @@ def read_caller_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     text = lines(spark, paths)
     df = _split(text).join(header_source(text), "path", "left")
     n = F.size("_c")
-    svaba = F.contains(F.lower(F.coalesce("source", F.lit(""))), F.lit("svaba"))
-    ok = (n == 8) | (n == 9) | (n == 10) | ((n == 13) & svaba)
+    ok = (n == 8) | (n == 9) | (n == 10) | ((n == 13) & F.coalesce("svaba", F.lit(False)))
     df = df.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("unsupported number of columns: "), F.col("line")))).cast("boolean"))
     c = lambda i: F.get("_c", F.lit(i))
     last = F.when(n == 13, c(12)).otherwise(c(9))

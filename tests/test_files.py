@@ -83,6 +83,7 @@ def test_merge_modes_and_benchmark(spark, folder):
     assert [r[2].partition(".")[0] for r in rows] == ["one", "one", "one", "three", "three"]
     assert [r[7].partition("SOURCES=")[2] for r in rows] == ["one,two", "one,two", "one", "three", "three"]  # 1250 is too far from the leader at 1000
     assert len(rows[0]) == 11 and len(rows[2]) == 10
+    assert "one.svcf (3)" in (folder / "merged.svcf.upset.svg").read_text() and not list(folder.glob(".*"))
     cli.main(["merge", *files[:2], "-o", str(out), "--expression", "one.svcf AND NOT (two OR two.svcf)"])
     assert [r[2] for r in body(out)] == ["one.1"]
     cli.main(["merge", *files, "-o", str(out), "--mode", "sample", "--sample-names", "A,B,C", "--exact-support", "2"])
@@ -91,7 +92,8 @@ def test_merge_modes_and_benchmark(spark, folder):
 
     cli.main(["benchmark", str(one), str(two), "-o", str(folder / "bench")])
     summary = json.loads((folder / "bench" / "summary.json").read_text())
-    assert (summary["tp"], summary["fp"], summary["fn"]) == (2, 0, 1)
+    assert (summary["TP"], summary["FP"], summary["FN"]) == (2, 0, 1) and list(summary)[3:] == ["Precision", "Recall", "F1"]
+    assert (folder / "bench" / "summary.json").read_text().startswith('{\n  "TP": 2') and (folder / "bench" / "fp.vcf").read_text() == "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
     assert [r[2] for r in body(folder / "bench" / "fn.vcf")] == ["one.1"]
 
 
@@ -104,6 +106,7 @@ def test_statistics_and_converters(spark, folder):
     assert "<table>" in (folder / "stat.html").read_text()
     cli.main(["plot", str(folder / "stat.txt"), str(folder / "plot")])
     assert (folder / "plot_types.tsv").read_text().splitlines()[0] == "DEL\t2"
+    assert all((folder / f"plot_{n}.svg").read_text().startswith("<svg") for n in ("sv_types", "sv_sizes", "chromosome_distribution")) and "<svg" in (folder / "stat.html").read_text()
     assert (folder / "plot_chromosomes.tsv").read_text().splitlines()[:2] == ["chr1\t3", "chr2\t0"]
     cli.main(["svcf2bed", "-i", str(source), "-o", str(folder / "x.bed"), "--minimal"])
     assert (folder / "x.bed").read_text() == "chr1\t999\t1100\nchr1\t4999\t5100\nchr1\t49\t50\n"
@@ -123,3 +126,44 @@ def test_svaba_columns_and_order_over_files(spark, folder):
     b.write_text(HEAD + rec(*["chr1", 5, "x", "N", "N", 1, "PASS", "SVTYPE=DEL", "GT", *"pqrs"]))
     with pytest.raises(Exception, match="unsupported number of columns"):
         vcf.read_caller_files(spark, [str(b)]).collect()
+
+
+def test_files_by_their_whole_names(spark, tmp_path):
+    """A file whose path ends like another's, one named twice, a pattern and a folder: every file has its own place."""
+    inner = tmp_path / "x" / str(tmp_path).lstrip("/")
+    inner.mkdir(parents=True)
+    odd = tmp_path / "a b%20é.vcf"
+    for path, name in ((tmp_path / "a.vcf", "outer"), (inner / "a.vcf", "inner"), (odd, "odd")):
+        path.write_text(HEAD + rec("chr1", 7, name, "N", "N", 1, "PASS", "SVTYPE=DEL") * 2)
+    given = [str(inner / "a.vcf"), str(tmp_path / "a.vcf"), str(odd), str(tmp_path / "a.vcf")]
+    rows = vcf.read_caller_files(spark, given).orderBy("ord").collect()
+    assert [(r.file_idx, r.sv_id, r.ord) for r in rows] == [(0, "inner", 1), (0, "inner", 2), (1, "outer", 3), (1, "outer", 4), (2, "odd", 5), (2, "odd", 6)]
+    assert [r.sv_id for r in vcf.read_caller_files(spark, [str(tmp_path / "a*.vcf")]).orderBy("ord").collect()] == ["odd", "odd", "outer", "outer"]
+    assert vcf.read_caller_files(spark, [str(tmp_path)]).count() == 4
+
+
+def test_source_line_and_qualities(spark, tmp_path):
+    """svaba may stand anywhere in the source line; the source ends at a space or a second '='."""
+    path = tmp_path / "a.vcf"
+    path.write_text(HEAD.replace("svim v1", "foo=2 svaba 1.0") + rec(*["chr1", 5, "x", "N", "N", 1, "PASS", "SVTYPE=DEL", "GT", *"pqr", "last"]))
+    assert [(r.source, r.sample_raw) for r in vcf.read_caller_files(spark, [str(path)]).collect()] == [("foo", "last")]
+    for qual, ok in (("nan", True), ("-inf", True), ("1e3", True), (".5", True), ("5d", False), ("1_", False), ("0x1", False)):
+        path.write_text(HEAD + rec("chr1", 5, "x", "N", "N", qual, "PASS", "SVTYPE=DEL"))
+        assert vcf.check_format(vcf.lines(spark, [str(path)])).count() == (0 if ok else 1), qual
+
+
+def test_parts_that_are_missing(spark, tmp_path, monkeypatch):
+    """Where not all parts reach the folder, as on a cluster without a shared one, nothing is written."""
+    from pyspark.sql import functions as F
+
+    from svlattice.sinks import text
+
+    monkeypatch.setattr(text, "Observation", lambda: type("Seen", (), {"_jo": None, "_on": lambda *a: a[1], "get": {"n": 9, "size": 99}})())
+    monkeypatch.setattr("pyspark.sql.DataFrame.observe", lambda self, *a: self, raising=False)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.observe", lambda self, *a: self, raising=False)
+    rows = spark.range(3).select("id", F.col("id").cast("string").alias("line"))
+    with pytest.raises(text.OutputError, match="6 of 99 bytes"):
+        text.write_lines(rows, ["id"], str(tmp_path / "out.txt"), ["h"])
+    assert not list(tmp_path.iterdir())
+    monkeypatch.undo()
+    assert text.write_lines(rows, ["id"], str(tmp_path / "out.txt"), ["h"]) == 3 and (tmp_path / "out.txt").read_text() == "h\n0\n1\n2\n"

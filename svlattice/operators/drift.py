@@ -4,9 +4,9 @@ Method: a file's schema is a tree: root, the branches info and format, and under
 kind. `edit_script` is the top-down tree edit distance between two such trees (a subtree is matched, deleted or added as
 a whole; labels are relabelled, siblings aligned at least cost), whose script holds keep, add, delete, rename, retype and
 move steps. A rename costs less than a delete and an add only for keys whose headers describe them alike, so the
-cheapest script is the wanted one. Scripts of a series compile into one projection per file (old key -> lasting key,
-common kind). `unified_records` renames the keys and puts the kinds beside the maps; values stay text. `moves` joins steps
-of a script and isn't applied: a key that moves between info and format stays in two maps.
+cheapest script is the wanted one; `moves` joins a delete and an add of one name in the two branches. Scripts of a series
+compile into one projection per file (branch and key -> lasting branch and key, common kind), which `unified_records`
+applies. The list of changes keeps a move as a removal and an addition.
 
 Keys and kinds of a file come from one aggregate over the unpacked fields, keyed by (file, field, key) and combined
 before the shuffle; trees and scripts are of the size of schemas, never of the data.
@@ -25,12 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from svlattice.operators.packed import info_items, info_pairs, sample_items, sample_pairs
+from svlattice.session import cut_lineage
 
 INTEGER = r"^[+-]?[0-9]+\z"
 DECIMAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 #: Kinds from narrow to wide; a key that drifts gets the widest it ever had.
 KINDS = ("flag", "integer", "float", "string")
 RENAME_COST, RETYPE_COST, EDIT_COST = 0.5, 0.25, 1.0
+BRANCHES = ("info", "format")
+PAIRS = "array<struct<fld: string, key: string, val: string, vals: array<string>>>"
+#: Projections of up to so many keys in all are broadcast; at some hundred bytes a key this is about 100 MB.
+MOST_RULES = 1_000_000
 
 
 @dataclass
@@ -124,7 +129,7 @@ def schema_tree(entries: list) -> Node:
     """entries: (fld, key, kind, description) of one file."""
     root = Node("schema")
     branch = {}
-    for fld in ("info", "format"):
+    for fld in BRANCHES:
         branch[fld] = Node(fld)
         root.children.append(branch[fld])
     for e in entries if entries is not None else []:
@@ -133,17 +138,20 @@ def schema_tree(entries: list) -> Node:
 
 
 def file_keys(events: DataFrame) -> DataFrame:
-    """file_id, fld, key, kind of every key in the records of a file."""
+    """file_id, fld, key, kind, fits (no value is longer than 18 characters) of every key in the records of a file."""
     info = info_items(events, "info_raw", ["file_id"]).select("file_id", F.lit("info").alias("fld"), F.col("item_key").alias("key"), "has_value", "val")
     fmt = sample_items(events, "sample_raw", "format_raw", ["file_id"], keys=True)
     fmt = fmt.select("file_id", F.lit("format").alias("fld"), F.col("item_key").alias("key"), F.lit(True).alias("has_value"), "val")
     given = F.when(~F.col("val").isin("", "."), F.col("val"))
     per_key = (
         info.unionByName(fmt).withColumn("_v", given).groupBy("file_id", "fld", "key")
-        .agg(F.bool_or("has_value").alias("valued"), F.count("_v").alias("n"), F.bool_and(F.col("_v").rlike(INTEGER)).alias("ints"), F.bool_and(F.col("_v").rlike(DECIMAL)).alias("decimals"))
+        .agg(
+            F.bool_or("has_value").alias("valued"), F.count("_v").alias("n"), F.bool_and(F.col("_v").rlike(INTEGER)).alias("ints"), F.bool_and(F.col("_v").rlike(DECIMAL)).alias("decimals"),
+            F.coalesce(F.max(F.length("_v")) <= 18, F.lit(True)).alias("fits"),
+        )
     )
     kind = F.when(~F.col("valued"), "flag").when(F.col("n") == 0, None).when(F.col("ints"), "integer").when(F.col("decimals"), "float").otherwise("string")
-    return per_key.select("file_id", "fld", "key", kind.alias("kind"))
+    return per_key.select("file_id", "fld", "key", kind.alias("kind"), "fits")
 
 
 def same_words(text: Column) -> Column:
@@ -162,9 +170,9 @@ def declared_keys(headers: DataFrame) -> DataFrame:
 
 
 def file_schemas(events: DataFrame, headers: DataFrame) -> DataFrame:
-    """file_id, entries: an array of (fld, key, kind, description) as long as the file's schema."""
+    """file_id, entries: an array of (fld, key, kind, description, fits) as long as the file's schema."""
     keys = file_keys(events).join(declared_keys(headers), ["file_id", "fld", "key"], "left")
-    return keys.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("fld", "key", "kind", "description"))).alias("entries"))
+    return keys.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("fld", "key", "kind", "description", "fits"))).alias("entries"))
 
 
 def _scripts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,55 +195,107 @@ def schema_changes(events: DataFrame, headers: DataFrame, files: DataFrame) -> D
     return steps.select("file_id", "fld", named.alias("drift"), "old_key", "new_key")
 
 
+@dataclass
+class _Column:
+    """A key's identity along a series: its branch and name in the newest file that has it, and the widest kind it ever had."""
+
+    fld: str
+    name: str
+    kind: str | None = None
+
+
 def _projections(series: pd.DataFrame) -> pd.DataFrame:
-    """Compiles a series' scripts: of each file and key, the lasting key (the newest name) and the widest kind."""
+    """Compiles a series' scripts: of each file and key the lasting branch and key, and the widest kind.
+
+    Renames and moves carry a key's identity on. Two keys never share a lasting name: where an older key's name was later
+    taken over by another, it gets the next free one of name~1, name~2 and so on.
+    """
     series = series.sort_values(["produced_at", "file_id"])
-    lasting: dict[tuple[str, str], list] = {}  # current name -> [newest name, widest kind], shared along renames
+    current: dict[tuple[str, str], _Column] = {}
+    every: list[_Column] = []
     rows, before = [], None
     for file_id, entries in zip(series["file_id"], series["entries"]):
         entries = entries if entries is not None else []
         if before is not None:
-            _, steps = edit_script(schema_tree(before), schema_tree(entries))
-            for step, path, old, new in steps:
+            carried = []
+            for step, path, old, new in moves(edit_script(schema_tree(before), schema_tree(entries))[1]):
                 if step == "rename":
                     fld = path.rpartition("/")[2]
-                    cell = lasting.pop((fld, old))
-                    cell[0] = new
-                    lasting[fld, new] = cell
+                    carried.append(((fld, new), current.pop((fld, old))))
+                elif step == "move":
+                    source, target = (p.rpartition("/")[2] for p in path.split(">"))
+                    carried.append(((target, new), current.pop((source, old))))
+            current |= dict(carried)
         for e in entries:
-            cell = lasting.setdefault((e["fld"], e["key"]), [e["key"], None])
-            if e["kind"] and (cell[1] is None or KINDS.index(e["kind"]) > KINDS.index(cell[1])):
-                cell[1] = e["kind"]
-            rows.append((file_id, e["fld"], e["key"], cell))
+            place = (e["fld"], e["key"])
+            if place not in current:
+                current[place] = _Column(*place)
+                every.append(current[place])
+            column = current[place]
+            column.fld, column.name = place
+            kind = e["kind"] if e["kind"] != "integer" or e["fits"] else "string"
+            if kind and (column.kind is None or KINDS.index(kind) > KINDS.index(column.kind)):
+                column.kind = kind
+            rows.append((file_id, *place, column))
         before = entries
-    return pd.DataFrame([(f, fld, k, c[0], c[1]) for f, fld, k, c in rows], columns=["file_id", "fld", "key", "lasting_key", "kind"])
+    names = {id(c): place for place, c in current.items()}
+    taken = set(current)
+    for column in every:
+        if id(column) not in names:
+            name, n = column.name, 0
+            while (column.fld, name) in taken:
+                n += 1
+                name = f"{column.name}~{n}"
+            names[id(column)] = (column.fld, name)
+            taken.add((column.fld, name))
+    return pd.DataFrame([(f, fld, k, *names[id(c)], c.kind) for f, fld, k, c in rows], columns=["file_id", "fld", "key", "lasting_fld", "lasting_key", "kind"])
 
 
 def projections(events: DataFrame, headers: DataFrame, files: DataFrame) -> DataFrame:
-    """file_id, fld, key, lasting_key, kind. A series has few files (one group holds schemas, not records)."""
+    """file_id, fld, key, lasting_fld, lasting_key, kind. A series has few files (one group holds schemas, not records).
+
+    The kind is the widest that the lasting key has in any file of any series, so that it is one for the whole table;
+    integers beyond 18 digits count as strings here.
+    """
     df = files.select("file_id", "produced_at", F.coalesce("series_id", F.concat(F.lit("file "), F.col("file_id").cast("string"))).alias("series_id"))
     df = df.join(file_schemas(events, headers), "file_id", "left")
-    return df.groupBy("series_id").applyInPandas(_projections, "file_id long, fld string, key string, lasting_key string, kind string")
+    df = df.groupBy("series_id").applyInPandas(_projections, "file_id long, fld string, key string, lasting_fld string, lasting_key string, kind string")
+    df = cut_lineage(df)
+    order = F.array(*map(F.lit, KINDS))
+    width = F.max(F.array_position(order, F.col("kind")))
+    common = df.groupBy("lasting_fld", "lasting_key").agg(F.get(order, (width - 1).cast("int")).alias("kind"))
+    return df.drop("kind").join(common, ["lasting_fld", "lasting_key"])
 
 
 def unified_records(events: DataFrame, headers: DataFrame, files: DataFrame) -> DataFrame:
-    """ord, file_id, chrom, pos, sv_id, info, format, info_values, format_values, info_kinds, format_kinds: all records with their keys' lasting names.
+    """ord, file_id, chrom, pos, sv_id and of info and format: all records with their keys' lasting names and types.
 
     info and format are maps of lasting key -> values joined by ','; of a key that a row repeats the last counts, and a
     flag is 'true'. info_values and format_values are maps of lasting key -> array of the single values, of a repeated key
-    all in order; a flag's is empty. The kinds are maps of the file's lasting keys -> the widest kind in the series, null where no file has
-    a value; the values aren't cast. Each file's projection is one row (two maps) that joins by file, so the records are neither unpacked
-    to rows nor grouped again; a hot file's side is split by the adaptive skew join.
+    all in order; a flag's is empty. info_numbers and format_numbers hold the same arrays as numbers, of the keys whose
+    common kind is integer or float; '' and '.' are null. The kinds are maps of the file's lasting keys -> that common kind,
+    null where no file has a value. A key that moved between info and format is in the map of its newest place.
+
+    Each file's projection is one row. They are written once and counted: up to `MOST_RULES` keys they are broadcast, so
+    the records aren't shuffled; beyond that they join by file, and the adaptive skew join splits a hot file's side.
     """
-    rules = projections(events, headers, files).groupBy("file_id").agg(
-        *(F.map_from_entries(F.collect_list(F.when(F.col("fld") == f, F.struct("key", "lasting_key")))).alias(f"_{f}") for f in ("info", "format")),
-        *(_kinds(F.collect_list(F.when(F.col("fld") == f, F.struct("lasting_key", "kind")))).alias(f"{f}_kinds") for f in ("info", "format")),
+    rules = projections(events, headers, files)
+    target = F.struct(F.col("lasting_fld").alias("fld"), F.col("lasting_key").alias("key"))
+    rules = rules.groupBy("file_id").agg(
+        *(F.map_from_entries(F.collect_list(F.when(F.col("fld") == f, F.struct(F.col("key"), target)))).alias(f"_{f}") for f in BRANCHES),
+        *(_kinds(F.collect_list(F.when(F.col("lasting_fld") == f, F.struct("lasting_key", "kind")))).alias(f"{f}_kinds") for f in BRANCHES),
+        F.bool_or(F.col("fld") != F.col("lasting_fld")).alias("_moved"), F.count("*").alias("_n"),
     )
+    rules = cut_lineage(rules)
+    if (rules.agg(F.sum("_n")).first()[0] or 0) <= MOST_RULES:
+        rules = F.broadcast(rules)
     rows = events.select("ord", "file_id", "chrom", "pos", "sv_id", "info_raw", "format_raw", "sample_raw").join(rules, "file_id", "left")
     rows = sample_pairs(info_pairs(rows, "info_raw", "_ip"), "sample_raw", "format_raw", "_fp")
     same, kinds = ["ord", "file_id", "chrom", "pos", "sv_id"], ["info_kinds", "format_kinds"]
-    rows = rows.select(*same, *kinds, _renamed("_ip", "_info").alias("_i"), _renamed("_fp", "_format").alias("_f"))
-    return rows.select(*same, _last_of_each("_i").alias("info"), _last_of_each("_f").alias("format"), _all_of_each("_i").alias("info_values"), _all_of_each("_f").alias("format_values"), *kinds)
+    rows = rows.select(*same, *kinds, "_moved", _renamed("_ip", "_info", "info").alias("_ir"), _renamed("_fp", "_format", "format").alias("_fr"))
+    rows = rows.select(*same, *kinds, _placed("_ir", "_fr", "info").alias("_i"), _placed("_fr", "_ir", "format").alias("_f"))
+    rows = rows.select(*same, _last_of_each("_i").alias("info"), _last_of_each("_f").alias("format"), _all_of_each("_i").alias("info_values"), _all_of_each("_f").alias("format_values"), *kinds)
+    return rows.select("*", *(_numbers(f"{f}_values", f"{f}_kinds").alias(f"{f}_numbers") for f in BRANCHES))
 
 
 def _kinds(rules: Column) -> Column:
@@ -246,8 +306,22 @@ def _kinds(rules: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(order, (widest(k) - 1).cast("int"))))
 
 
-def _renamed(pairs: str, rules: str) -> Column:
-    return F.transform(pairs, lambda x: F.struct(F.coalesce(F.try_element_at(F.col(rules), x["key"]), x["key"]).alias("key"), x["val"].alias("val"), x["vals"].alias("vals")))
+def _renamed(pairs: str, rules: str, fld: str) -> Column:
+    to = lambda x: F.try_element_at(F.col(rules), x["key"])
+    return F.transform(pairs, lambda x: F.struct(F.coalesce(to(x)["fld"], F.lit(fld)).alias("fld"), F.coalesce(to(x)["key"], x["key"]).alias("key"), x["val"].alias("val"), x["vals"].alias("vals")))
+
+
+def _placed(own: str, other: str, fld: str) -> Column:
+    """The pairs whose lasting place is `fld`: a field's own, and those that moved there; null for a null field to which none moved."""
+    of = lambda pairs: F.filter(F.coalesce(pairs, F.array().cast(PAIRS)), lambda x: x["fld"] == fld)
+    both = F.concat(of(F.col(own)), of(F.col(other)))
+    return F.when(~F.coalesce("_moved", F.lit(False)), F.col(own)).when(F.col(own).isNotNull() | (F.size(both) > 0), both)
+
+
+def _numbers(values: str, kinds: str) -> Column:
+    """The keys of a numeric kind with their values as numbers."""
+    numeric = F.map_filter(F.col(values), lambda k, _: F.coalesce(F.try_element_at(F.col(kinds), k).isin("integer", "float"), F.lit(False)))
+    return F.transform_values(numeric, lambda _, vs: F.transform(vs, lambda v: v.try_cast("double")))
 
 
 def _last_of_each(pairs: str) -> Column:

@@ -101,6 +101,43 @@ def test_unified_values(spark):
     assert rows[2].info_values == {"A": ["2", "7"]} and rows[6].info_values is None and rows[5].format_values is None
 
 
+def series(*schemas):
+    """A series' files as _projections takes them; a schema is a list of (fld, key, kind, description) or with fits."""
+    entry = lambda fld, key, kind="integer", description=None, fits=True: {"fld": fld, "key": key, "kind": kind, "description": description, "fits": fits}
+    return pd.DataFrame({"file_id": range(len(schemas)), "produced_at": range(len(schemas)), "entries": [[entry(*e) for e in s] for s in schemas]})
+
+
+def lasting(*schemas):
+    return {(r.file_id, r.fld, r.key): (r.lasting_fld, r.lasting_key, r.kind) for r in drift._projections(series(*schemas)).itertuples()}
+
+
+def test_lasting_keys():
+    """No two keys of a file share a lasting name, also where a name was given up and then taken over by a rename."""
+    got = lasting([("info", "A", "integer", "x"), ("info", "B", "float", "y")], [("info", "A", "integer", "x")], [("info", "B", "string", "x")])
+    assert got == {(0, "info", "A"): ("info", "B", "string"), (0, "info", "B"): ("info", "B~1", "float"), (1, "info", "A"): ("info", "B", "string"), (2, "info", "B"): ("info", "B", "string")}
+    swapped = lasting([("info", "A", "integer", "x"), ("info", "B", "integer", "y")], [("info", "C", "integer", "x")], [("info", "C", "integer", "x"), ("info", "B", "float", "z")])
+    assert swapped[0, "info", "A"] == ("info", "C", "integer") and swapped[0, "info", "B"] == swapped[2, "info", "B"] == ("info", "B", "float")
+
+
+def test_moved_keys_and_long_integers():
+    got = lasting([("info", "DP", "integer"), ("format", "GT", "string")], [("format", "DP", "float"), ("format", "GT", "string")], [("format", "DP", None), ("info", "N", "integer", None, False)])
+    assert got[0, "info", "DP"] == got[1, "format", "DP"] == ("format", "DP", "float") and got[2, "info", "N"] == ("info", "N", "string")
+
+
+def test_moved_values_and_numbers(spark, monkeypatch):
+    events = [(1, 10, "DP=7;A=1,.;S=x;L=99999999999999999999", "GT", "0/1"), (2, 11, "A=2.5;A=3", "GT:DP", "0/1:8"), (3, 10, None, "GT", "1"), (4, 10, "DP=1", None, None)]
+    files = [(10, "s", 1), (11, "s", 2)]
+    e = spark.createDataFrame(events, "ord long, file_id long, info_raw string, format_raw string, sample_raw string").withColumns({"chrom": F.lit("c"), "pos": F.lit(1), "sv_id": F.lit("i"), "_moved": F.lit("clash")})
+    f = spark.createDataFrame(files, "file_id long, series_id string, produced_at int")
+    h = spark.createDataFrame([], "file_id long, line_no long, line string")
+    for most in (drift.MOST_RULES, 0):
+        monkeypatch.setattr(drift, "MOST_RULES", most)
+        rows = {r.ord: r for r in drift.unified_records(e, h, f).collect()}
+        assert rows[1].format == {"GT": "0/1", "DP": "7"} and "DP" not in rows[1].info and rows[4].format == {"DP": "1"} and rows[4].info == {}
+        assert rows[1].info_numbers == {"A": [1.0, None]} and rows[2].info_numbers == {"A": [2.5, 3.0]} and rows[1].format_numbers == {"DP": [7.0]}
+        assert rows[1].info_kinds == {"A": "float", "S": "string", "L": "string"} and rows[1].format_kinds == {"GT": "string", "DP": "integer"} and rows[3].info is None
+
+
 def test_quote_automaton_over_chunks():
     rng = np.random.default_rng(1)
     for _ in range(60):

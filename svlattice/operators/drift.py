@@ -281,8 +281,9 @@ def unified_records(events: DataFrame, headers: DataFrame, files: DataFrame) ->
     """
     rules = projections(events, headers, files)
     target = F.struct(F.col("lasting_fld").alias("fld"), F.col("lasting_key").alias("key"))
+    changed = (F.col("fld") != F.col("lasting_fld")) | (F.col("key") != F.col("lasting_key"))
     rules = rules.groupBy("file_id").agg(
-        *(F.map_from_entries(F.collect_list(F.when(F.col("fld") == f, F.struct(F.col("key"), target)))).alias(f"_{f}") for f in BRANCHES),
+        *(F.map_from_entries(F.collect_list(F.when((F.col("fld") == f) & changed, F.struct(F.col("key"), target)))).alias(f"_{f}") for f in BRANCHES),
         *(_kinds(F.collect_list(F.when(F.col("lasting_fld") == f, F.struct("lasting_key", "kind")))).alias(f"{f}_kinds") for f in BRANCHES),
         F.bool_or(F.col("fld") != F.col("lasting_fld")).alias("_moved"), F.count("*").alias("_n"),
     )
@@ -307,8 +308,11 @@ def _kinds(rules: Column) -> Column:
 
 
 def _renamed(pairs: str, rules: str, fld: str) -> Column:
-    to = lambda x: F.try_element_at(F.col(rules), x["key"])
-    return F.transform(pairs, lambda x: F.struct(F.coalesce(to(x)["fld"], F.lit(fld)).alias("fld"), F.coalesce(to(x)["key"], x["key"]).alias("key"), x["val"].alias("val"), x["vals"].alias("vals")))
+    """The pairs with their lasting branch and key; rules hold only the keys that change."""
+    found = F.transform(pairs, lambda x: F.struct(F.try_element_at(F.col(rules), x["key"]).alias("to"), x.alias("x")))
+    moved = lambda y: F.struct(F.coalesce(y["to"]["fld"], F.lit(fld)).alias("fld"), F.coalesce(y["to"]["key"], y["x"]["key"]).alias("key"), y["x"]["val"].alias("val"), y["x"]["vals"].alias("vals"))
+    same = F.transform(pairs, lambda x: F.struct(F.lit(fld).alias("fld"), x["key"].alias("key"), x["val"].alias("val"), x["vals"].alias("vals")))
+    return F.when(F.coalesce(F.size(rules), F.lit(0)) > 0, F.transform(found, moved)).otherwise(same)
 
 
 def _placed(own: str, other: str, fld: str) -> Column:

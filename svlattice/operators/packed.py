@@ -152,18 +152,25 @@ def info_pairs(df: DataFrame, raw: str, name: str) -> DataFrame:
     df = df.select(*keep, escape(F.col(raw)).alias("_t"))
     df = df.select(*keep, "_t", mark(F.col("_t"), INFO_SPAN, f"$1$2$3{SPAN}$4{SPAN}", "[\"']").alias("_p"))
     items = F.filter(F.transform(F.split(template(F.col("_t"), F.col("_p")), r"[;|\t]", -1), lambda x: F.trim(x)), lambda x: x != "")
-    df = df.select(*keep, "_p", items.alias("_i"))
-
-    def pair(x: Column) -> Column:
-        eq = F.instr(x, "=")
-        given = F.transform(F.split(F.substring(x, eq + 1, F.length(x)), ",", -1), lambda v: F.trim(v))
-        rest = F.filter(given, lambda v: v != "")
-        single = F.when(F.size(rest) == 0, F.array(F.lit(""))).otherwise(F.transform(rest, lambda v: restore(v, F.col("_p"))))
-        vals = F.when(eq == 0, F.array().cast("array<string>")).otherwise(single)
-        key = F.when(eq > 0, F.trim(F.substring(x, F.lit(1), eq - 1))).otherwise(x)
-        return F.struct(restore(key, F.col("_p")).alias("key"), F.when(eq == 0, "true").otherwise(restore(F.array_join(rest, ","), F.col("_p"))).alias("val"), vals.alias("vals"))
-
-    return df.select(*keep, F.transform("_i", pair).alias(name))
+    df = df.select(*keep, "_p", "_t", items.alias("_i"))
+    none = F.array().cast("array<string>")
+
+    def values(x: Column, given) -> Column:
+        """Of an item (text, eq) its single values; given restores a trimmed one."""
+        rest = F.substring(x["text"], x["eq"] + 1, F.length(x["text"]))
+        listed = F.filter(F.transform(F.split(rest, ",", -1), lambda v: F.trim(v)), lambda v: v != "")
+        listed = F.transform(F.when(F.size(listed) == 0, F.array(F.lit(""))).otherwise(listed), given)
+        return F.when(x["eq"] == 0, none).when(~F.contains(x["text"], F.lit(",")), F.array(given(F.trim(rest)))).otherwise(listed)
+
+    def pairs(given) -> Column:
+        # in stages, as what a lambda uses twice is computed twice
+        cut = F.transform("_i", lambda x: F.struct(x.alias("text"), F.instr(x, "=").alias("eq")))
+        key = lambda x: given(F.when(x["eq"] > 0, F.trim(F.substring(x["text"], F.lit(1), x["eq"] - 1))).otherwise(x["text"]))
+        held = F.transform(cut, lambda x: F.struct(key(x).alias("key"), (x["eq"] == 0).alias("flag"), values(x, given).alias("vals")))
+        return F.transform(held, lambda x: F.struct(x["key"].alias("key"), F.when(x["flag"], "true").otherwise(F.array_join(x["vals"], ",")).alias("val"), x["vals"].alias("vals")))
+
+    plain = F.col("_p").isNull() & ~F.contains("_t", F.lit(ESC))  # nothing to restore
+    return df.select(*keep, F.when(plain, pairs(lambda v: v)).otherwise(pairs(lambda v: restore(v, F.col("_p")))).alias(name))
 
 
 def sample_pairs(df: DataFrame, raw: str, format_raw: str, name: str) -> DataFrame:

@@ -32,6 +32,9 @@ def run_correct(spark: SparkSession, source: str, target: str, tolerance: int =
     if problem:
         _fail(f"{source}: {problem[0]['problem']}: {problem[0]['line'] or ''}")
     records = vcf.read_caller_files(spark, [source])
+    lost = correct.dropped(records).count()
+    if lost:
+        print(f"{lost} breakends without a readable mate are left out", file=sys.stderr)
     rows = correct.serialised(correct.corrected(records, tolerance, limits), F.col("source"))
     return text.write_lines(rows, ["branch", "rank", "rank2", "rank3"], target, text.corrected_header(_contig_lines(spark, [source])))
 

@@ -10,6 +10,7 @@ from svlattice.operators import cluster, correct, filters, pairing, sourcesets,
 from svlattice.operators.events import caller_events, corrected_events
 from svlattice.session import cut_lineage, spread, table
 from svlattice.sinks import formats
+from svlattice.sources import vcf
 
 LIMITS = filters.Limits(min_qual=5, max_qual=95, min_support=3, min_depth=10, min_gq=5, min_svlen=40, max_svlen=20000, filter_pass=True, exclude_nocall=True)
 CRITERIA = truth.Criteria()
@@ -92,6 +93,49 @@ def breakend_roles(spark, folder):
     return pairing.breakend_passes(_caller(spark, folder), by=("file_id",)).select("role", "first_ord", "second_ord")
 
 
+def breakend_roles_filtered(spark, folder):
+    """As breakend_roles, of the records that pass the limits: the filter comes before the pairing."""
+    return pairing.breakend_passes(filters.passing(_caller(spark, folder), LIMITS), by=("file_id",)).select("role", "first_ord", "second_ord")
+
+
+def dropped_breakends(spark, folder):
+    return correct.dropped(spread(table(spark, folder, "sv_event"))).select("ord", "alt")
+
+
+def typed_events(spark, folder):
+    """The type guard over the events of the six types."""
+    events = _corrected(spark, folder)
+    return filters.known_types(events.where(F.col("svtype").isin(*cluster.REGULAR, "TRA", "BND"))).select("ord", "svtype")
+
+
+def event_sequences(spark, folder):
+    return _corrected(spark, folder).select("ord", fields.event_sequence(F.col("info_raw"), F.col("alt")).alias("seq"))
+
+
+def _header(spark, folder) -> DataFrame:
+    """The header lines of all files as `sources.vcf` reads them."""
+    return table(spark, folder, "vcf_header").select(F.col("file_id").cast("string").alias("path"), F.col("file_id").alias("file_idx"), F.struct("line_no").alias("place"), "line")
+
+
+def header_contigs(spark, folder):
+    return vcf.contigs(_header(spark, folder))
+
+
+def header_sources(spark, folder):
+    return vcf.header_source(_header(spark, folder))
+
+
+def format_problems(spark, folder):
+    """Of the raw lines those that break the format, and files whose lines here hold no header."""
+    lines = table(spark, folder, "vcf_line").where("line is not null")
+    return vcf.check_format(lines.select(F.col("file_id").cast("string").alias("path"), F.regexp_replace("line", r"\r\z", "").alias("line")))
+
+
+def display_names(spark, folder):
+    name = sourcesets.stem(fields.base_name(F.col("svcf_name")))
+    return table(spark, folder, "call_file").select("file_id", name.alias("shown"), fields.short_name(F.col("svcf_name")).alias("short"), fields.short_name(F.col("file_name"), 12).alias("shorter"))
+
+
 def corrected_branches(spark, folder):
     df = correct.corrected(spread(table(spark, folder, "sv_event")), by=("file_id",))
     return df.select("file_id", "branch", "rank", "rank2", "rank3", "ord", "out_type", "out_end", "out_len", "out_chr2", "out_rtid")
@@ -127,6 +171,12 @@ def representative(spark, folder):
     return _merged(spark, folder)[0].select("cluster_id", "ord", "score", "n_members", F.array_join("sources", ",").alias("sources"))
 
 
+def merged_order(spark, folder):
+    """The order in which merged events are written: kind, first record of the chromosome's type, cluster."""
+    df = cluster.output_order(_merged(spark, folder)[0])
+    return df.select("cluster_id", F.col("out_key._kind").cast("int").alias("kind"), F.col("out_key._first").alias("first"))
+
+
 def region_lookup(spark, folder):
     merged = _merged(spark, folder)[0]
     return filters.in_region(merged, "DEL", "chr1", 1, 60_000_000).select("cluster_id", "start_pos", "end_pos")
@@ -289,6 +339,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         resolved_coordinates, bnd_pattern, bnd_alt_parse, tra_orientation, caller_scores, merge_thresholds, natural_chrom_order, caller_info, parsed_samples, depth_of_alleles,
+        header_contigs, header_sources, format_problems, display_names, event_sequences, typed_events, dropped_breakends, breakend_roles_filtered, merged_order,
         filter_first_failure, filter_stats, pair_same_chromosome, breakend_roles, corrected_branches, corrected_lines, cluster_sv, cluster_tra, cluster_bnd, representative, region_lookup,
         merge_union, merge_intersect, merge_specific, merge_exact, merge_range, merge_expression, upset_counts, file_totals, bench_eligible, bench_matches, bench_metrics, reciprocal_overlaps,
         stat_types, stat_sizes, stat_size_bins, stat_chrom, stat_qual, stat_support, stat_filter, stat_gt, plot_density, to_vcf, to_bed, to_bedpe, merged_caller_rows, merged_sample_rows,

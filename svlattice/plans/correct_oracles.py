@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from svlattice.plans.oracles import CALLS, MERGED, PAIRS, SUPPORT, _cell, _int, _pair_sides, _strict
+from svlattice.plans.oracles import CALLS, EVENTS, FIRST_FAILURE, MERGED, PAIRS, SUPPORT, _cell, _info, _int, _pair_sides, _strict
 
 T = 3  # the tolerance of mates
 
@@ -31,8 +31,9 @@ def _run(name: str, rows: str, near: str, i: str, j: str, begun: str, replaced:
   FROM {name} s JOIN {rows} r ON r.file_id = s.file_id AND r.i = s.i + 1)"""
 
 
-#: roles(file_id, role, first_ord, second_ord, rank, rank2)
-ROLES = f"""d AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS i, ord, chrom AS c, pos AS p, mate_chrom AS d, mate_pos AS q FROM v WHERE route = 'diff' AND chrom IS NOT NULL AND pos IS NOT NULL AND mate_chrom IS NOT NULL AND mate_pos IS NOT NULL),
+def _roles(records: str) -> str:
+    """CTEs to roles(file_id, role, first_ord, second_ord, rank, rank2)."""
+    return f"""d AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS i, ord, chrom AS c, pos AS p, mate_chrom AS d, mate_pos AS q FROM {records} WHERE route = 'diff' AND chrom IS NOT NULL AND pos IS NOT NULL AND mate_chrom IS NOT NULL AND mate_pos IS NOT NULL),
 {_run("mt", "d", _MATE, "q", "p", "r.ord", True)},
 {_run("qu", "d", _MATE, "q", "p", f"coalesce(list_filter(s.w, lambda x: {_SAME})[1].b, r.ord)", False)},
 lf AS (SELECT file_id, unnest(w) AS x FROM (SELECT file_id, arg_max(w, i) AS w FROM qu GROUP BY file_id)),
@@ -43,6 +44,9 @@ roles AS (SELECT file_id, 'mate' AS role, hit AS first_ord, ord AS second_ord, o
   UNION ALL SELECT file_id, 'single', x.o, x.o, x.b, x.o FROM sg)"""
 
 
+ROLES = _roles("v")
+
+
 def _has(key: str) -> str:
     return f"regexp_matches(';'||info_raw||';', ';{key}[=;]')"
 
@@ -109,6 +113,21 @@ _MISSING = "'0/0:'||rtrim(repeat('.:', len(string_split(format_raw, ':')) - 1),
 
 ORACLES: dict[str, str] = {
     "breakend_roles": f"WITH RECURSIVE {CALLS}, {ROLES} SELECT role, first_ord, second_ord FROM roles",
+    "breakend_roles_filtered": f"WITH RECURSIVE {CALLS}, {FIRST_FAILURE}, kv AS (SELECT v.* FROM v JOIN f USING (ord) WHERE rule IS NULL), {_roles('kv')} SELECT role, first_ord, second_ord FROM roles",
+    "dropped_breakends": f"WITH {CALLS} SELECT ord, alt FROM v WHERE route = 'diff' AND (mate_chrom IS NULL OR mate_pos IS NULL)",
+    "typed_events": f"WITH {EVENTS} SELECT ord, svtype FROM e WHERE svtype IN ('INS','DEL','INV','DUP','TRA','BND')",
+    "event_sequences": f"WITH {EVENTS} SELECT ord, coalesce({_info('SVSEQ')}, {_info('SEQ')}, CASE WHEN len(alt) > 1 AND NOT starts_with(alt, '<') THEN alt END) AS seq FROM e",
+    "header_contigs": r"""WITH h AS (SELECT file_id, line_no, regexp_extract(line, '[<,]ID=([^,>]+)', 1) AS contig_id, regexp_extract(line, '[<,]length=([^,>]+)', 1) AS length FROM vcf_header WHERE starts_with(line, '##contig'))
+      SELECT contig_id, arg_max(length, [file_id, line_no]) AS length FROM h WHERE contig_id <> '' AND length <> '' GROUP BY 1""",
+    "header_sources": "SELECT file_id::VARCHAR AS path, arg_max(string_split(string_split(line, '=')[2], ' ')[1], line_no) AS source, bool_or(contains(lower(line), 'svaba')) AS svaba FROM vcf_header WHERE starts_with(line, '##source=') GROUP BY 1",
+    "format_problems": r"""WITH r AS (SELECT file_id::VARCHAR AS path, regexp_replace(line, '\r$', '') AS line FROM vcf_line WHERE line IS NOT NULL), c AS (SELECT *, string_split(line, chr(9)) AS cols FROM r WHERE NOT starts_with(line, '#') AND trim(line) <> ''),
+      p AS (SELECT path, line, CASE WHEN contains(line, ' ') THEN 'space' WHEN len(cols) < 8 THEN 'columns' WHEN NOT regexp_full_match(cols[2], '[+-]?[0-9]+') OR try_cast(cols[2] AS BIGINT) IS NULL THEN 'pos'
+        WHEN cols[6] <> '.' AND NOT regexp_full_match(lower(cols[6]), '[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|nan|inf|infinity)') THEN 'qual' END AS problem FROM c)
+      SELECT * FROM p WHERE problem IS NOT NULL UNION ALL SELECT path, NULL, 'no header' FROM r GROUP BY path HAVING NOT bool_or(starts_with(line, '#'))""",
+    "display_names": r"""SELECT file_id, regexp_replace(regexp_extract(svcf_name, '[^/]*$'), '(.)\.[^.]*$', '\1') AS shown, CASE WHEN len(svcf_name) > 30 THEN svcf_name[:15]||'...'||svcf_name[-10:] ELSE svcf_name END AS short,
+      CASE WHEN len(file_name) > 12 THEN file_name[:15]||'...'||file_name[-10:] ELSE file_name END AS shorter FROM call_file""",
+    "merged_order": f"""WITH RECURSIVE {MERGED}, m AS (SELECT cluster_id, svtype, start_chrom FROM merged JOIN e USING (ord)) SELECT cluster_id, (CASE svtype WHEN 'TRA' THEN 0 WHEN 'BND' THEN 1 WHEN 'INS' THEN 2 WHEN 'DEL' THEN 3 WHEN 'DUP' THEN 4 ELSE 5 END)::INTEGER AS kind,
+      min(cluster_id) OVER (PARTITION BY svtype, start_chrom) AS first FROM m""",
     "corrected_branches": f"WITH RECURSIVE {CORRECTED} SELECT file_id, branch, rank, rank2, rank3, ord, out_type, out_end, out_len, out_chr2, out_rtid FROM out_",
     "corrected_lines": f"WITH RECURSIVE {CORRECTED} {LINES}",
     "merged_caller_rows": f"""WITH RECURSIVE {ROWS}, {_SOURCES}, sm AS (SELECT cluster_id, string_agg(s, chr(9) ORDER BY place NULLS LAST, laid.ord) AS samples FROM laid LEFT JOIN fl USING (base) GROUP BY 1)

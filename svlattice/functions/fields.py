@@ -5,7 +5,7 @@ All are built-in expressions; a field that is missing, empty or not of the wante
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys of the two serialised records, in their order.
@@ -79,6 +79,15 @@ def corrected_cells(sample: Column, fmt: Column) -> tuple[Column, Column]:
     return F.slice(keys, F.lit(1), F.coalesce(at, F.size(keys))), F.coalesce(F.when(at.isNotNull(), swallowed), parts)
 
 
+def with_cells(records: DataFrame) -> DataFrame:
+    """records + _keys, _values as of `corrected_cells`, in steps that keep every expression single."""
+    df = records.withColumns({"_k": F.split("format_raw", ":", -1), "_v": F.split("sample_raw", ":", -1)})
+    df = df.withColumn("_at", F.least(*(F.nullif(F.array_position("_k", F.lit(k)), F.lit(0)) for k in SWALLOWING)).cast("int"))
+    taken = F.concat(F.slice("_v", F.lit(1), F.col("_at") - 1), F.array(F.array_join(F.slice("_v", F.col("_at"), F.greatest(F.size("_v"), F.lit(1))), ":")))
+    values = F.when(F.col("_at").isNull() | (F.size("_v") < F.col("_at") - 1), F.col("_v")).otherwise(taken)
+    return df.withColumns({"_keys": F.slice("_k", F.lit(1), F.coalesce("_at", F.size("_k"))), "_values": values}).drop("_k", "_v", "_at")
+
+
 def cell(keys: Column, values: Column, key: Column) -> Column:
     """The value of the last of equal keys, null without one."""
     back = F.array_position(F.reverse(keys), key).cast("int")

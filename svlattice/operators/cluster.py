@@ -143,7 +143,13 @@ def clusters(events: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFr
 
 
 def representatives(events: DataFrame, membership: DataFrame) -> DataFrame:
-    """The best event of every cluster, with cluster_id, score, sources (distinct, sorted) and n_members.
+    """The best event of every cluster, with all its columns, cluster_id, score, sources (distinct, sorted) and n_members."""
+    kept = [c for c in events.columns if c not in ("cluster_id", "score", "sources", "n_members")]
+    return best_members(events, membership).join(events.select(*kept), "ord").select("cluster_id", *kept, "score", "sources", "n_members")
+
+
+def best_members(events: DataFrame, membership: DataFrame) -> DataFrame:
+    """cluster_id, ord of the best event, score, sources, n_members; events need ord, source_file, support_n, qual_n, caller.
 
     Best is the highest score, then support, then quality, then the first. Only the numbers that decide go through the
     aggregate, which keeps partial maxima; the wide columns are joined for the winners alone. The set of source files is
@@ -153,9 +159,7 @@ def representatives(events: DataFrame, membership: DataFrame) -> DataFrame:
     rank = F.struct(score.alias("score"), F.coalesce("support_n", F.lit(0)).alias("s"), F.coalesce("qual_n", F.lit(50.0)).alias("q"), (-F.col("ord")).alias("o"))
     df = membership.join(events.select("ord", "source_file", rank.alias("_rank")), "ord")
     best = df.groupBy("cluster_id").agg(F.max("_rank").alias("_best"), F.array_sort(F.collect_set("source_file")).alias("sources"), F.count("*").alias("n_members"))
-    best = best.select("cluster_id", (-F.col("_best.o")).alias("ord"), F.col("_best.score").alias("score"), "sources", "n_members")
-    kept = [c for c in events.columns if c not in ("cluster_id", "score", "sources", "n_members")]
-    return best.join(events.select(*kept), "ord").select("cluster_id", *kept, "score", "sources", "n_members")
+    return best.select("cluster_id", (-F.col("_best.o")).alias("ord"), F.col("_best.score").alias("score"), "sources", "n_members")
 
 
 def output_order(merged: DataFrame) -> DataFrame:

@@ -19,11 +19,12 @@ def corrected_events(records: DataFrame) -> DataFrame:
     a column that several others use is a column of an earlier projection, not a repeated expression.
     """
     kept = [c for c in records.columns if c not in RESOLVED]  # a table's own columns of these names give way
-    info, fmt, sample = F.col("info_raw"), F.col("format_raw"), F.col("sample_raw")
-    df = records.select(
+    info = F.col("info_raw")
+    held = lambda k: fields.cell(F.col("_keys"), F.col("_values"), F.lit(k))
+    df = fields.with_cells(records).select(
         *kept, F.coalesce(fields.info_text(info, "SVTYPE"), F.lit("")).alias("svtype"), fields.info_text(info, "CHR2").alias("_chr2"), fields.info_text(info, "END").alias("_end"),
         fields.info_text(info, "SVLEN").alias("svlen_text"), fields.info_number(info, "SUPPORT").alias("support_n"), fields.number(F.col("qual")).alias("qual_n"),
-        fields.corrected_text(sample, fmt, "SC").alias("_sc"), fields.corrected_text(sample, fmt, "CO").alias("_co"),
+        held("SC").alias("_sc"), held("CO").alias("_co"),
     )
     svtype, chrom, pos, end_text, co = (F.col(c) for c in ("svtype", "chrom", "pos", "_end", "_co"))
     form = r"^([^-_]*)_([0-9]+)-([^-_]*)_([0-9]+)\z"

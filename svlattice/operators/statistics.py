@@ -69,18 +69,22 @@ def quantiles(values: DataFrame, value: str, by: list[str] | None = None) -> Dat
     n = F.col("n")
     low = lambda k: F.greatest(F.lit(1), F.least(F.floor(k * (n + 1) / 4), n - 1))
     ranks = {"_m1": F.floor((n + 1) / 2), "_m2": F.floor(n / 2) + 1, "_a1": low(1), "_b1": low(1) + 1, "_a3": low(3), "_b3": low(3) + 1}
-    whole = values.groupBy(*names).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.stddev_samp("_v").alias("stdev"))
-    bins = values.groupBy(*names, "_bin").agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_c").over(up), F.lit(0))).join(whole.select(*names, "n"), names)
-    inside = lambda r, count: (r > F.col("_before")) & (r <= F.col("_before") + F.col(count))
-    picked = bins.where(reduce(lambda a, b: a | b, (inside(r, "_c") for r in ranks.values()))).select(*names, "_bin", "n", F.col("_before").alias("_start"))
-    each = values.join(picked, [*names, "_bin"]).groupBy(*names, "_bin", "n", "_start", "_v").agg(F.count("*").alias("_c"))
+    bins = values.groupBy(*names, "_bin").agg(F.count("*").alias("_c"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    of_all = Window.partitionBy(*names)
+    up = of_all.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    c = F.col("_c")
+    bins = bins.withColumns({"_before": F.coalesce(F.sum("_c").over(up), F.lit(0)), "n": F.sum("_c").over(of_all), "least": F.min("_lo").over(of_all), "most": F.max("_hi").over(of_all), "_sum": F.sum(c * F.col("_m")).over(of_all)})
+    bins = bins.withColumn("mean", F.col("_sum") / n)
+    bins = bins.withColumn("stdev", F.sqrt(F.try_divide(F.sum(c * (F.col("_s") + F.pow(F.col("_m") - F.col("mean"), 2))).over(of_all), n - 1)))
+    inside = lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_c"))
+    whole = ["n", "mean", "least", "most", "stdev"]
+    picked = bins.where(reduce(lambda a, b: a | b, map(inside, ranks.values()))).select(*names, "_bin", *whole, F.col("_before").alias("_start"))
+    each = values.join(picked, [*names, "_bin"]).groupBy(*names, "_bin", *whole, "_start", "_v").agg(F.count("*").alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(*names, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
     each = each.withColumn("_before", F.col("_start") + F.coalesce(before, F.lit(0)))
-    found = each.groupBy(*names).agg(*(F.max(F.when(inside(r, "_c"), F.col("_v"))).alias(a) for a, r in ranks.items()))
+    found = each.groupBy(*names, *whole).agg(*(F.max(F.when(inside(r), F.col("_v"))).alias(a) for a, r in ranks.items()))
     quartile = lambda k: F.when(n >= 4, (F.col(f"_a{k}") * (4 - (k * (n + 1) - 4 * low(k))) + F.col(f"_b{k}") * (k * (n + 1) - 4 * low(k))) / 4)
-    return whole.join(found, names).select(
+    return found.select(
         *(by or []), "n", "mean", ((F.col("_m1") + F.col("_m2")) / 2).alias("median"), F.col("least").cast("double"), F.col("most").cast("double"),
         quartile(1).alias("q1"), quartile(3).alias("q3"), "stdev",
     )

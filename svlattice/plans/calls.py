@@ -61,9 +61,8 @@ def caller_info(spark, folder):
 
 
 def parsed_samples(spark, folder):
-    held = fields.settled(dict(zip(("k", "v"), fields.corrected_cells(F.col("sample_raw"), F.col("format_raw")))))
-    df = table(spark, folder, "svcf_event").select("ord", held)
-    return df.select("ord", *(fields.cell(F.col("k"), F.col("v"), F.lit(k)).alias(k.lower()) for k in ("GT", "AD", "LN", "SC")))
+    df = fields.with_cells(table(spark, folder, "svcf_event"))
+    return df.select("ord", *(fields.cell(F.col("_keys"), F.col("_values"), F.lit(k)).alias(k.lower()) for k in ("GT", "AD", "LN", "SC")))
 
 
 def depth_of_alleles(spark, folder):
@@ -90,12 +89,17 @@ def pair_same_chromosome(spark, folder):
 
 
 def breakend_roles(spark, folder):
-    return pairing.breakend_passes(_caller(spark, folder), by=("file_id",)).select("role", "first_ord", "second_ord")
+    return pairing.breakend_passes(_breakends(_caller(spark, folder)), by=("file_id",)).select("role", "first_ord", "second_ord")
+
+
+def _breakends(events: DataFrame) -> DataFrame:
+    """The places of breakends, which the passes read several times: written once."""
+    return cut_lineage(events.where("route = 'diff'").select("ord", "file_id", "route", "chrom", "pos", "mate_chrom", "mate_pos"))
 
 
 def breakend_roles_filtered(spark, folder):
     """As breakend_roles, of the records that pass the limits: the filter comes before the pairing."""
-    return pairing.breakend_passes(filters.passing(_caller(spark, folder), LIMITS), by=("file_id",)).select("role", "first_ord", "second_ord")
+    return pairing.breakend_passes(_breakends(filters.passing(_caller(spark, folder), LIMITS)), by=("file_id",)).select("role", "first_ord", "second_ord")
 
 
 def dropped_breakends(spark, folder):
@@ -147,24 +151,29 @@ def corrected_lines(spark, folder):
     return correct.serialised(df.join(files, "file_id", "left"), F.col("file_name")).select("file_id", "branch", "rank", "rank2", "rank3", "line")
 
 
+def _places(spark, folder, *more: str) -> DataFrame:
+    """The typed columns that clustering and matching read several times: written once, without the packed fields."""
+    return cut_lineage(_corrected(spark, folder).select("ord", "svtype", "start_chrom", "start_pos", "end_chrom", "end_pos", "length", F.col("bnd_alt").alias("alt"), *more))
+
+
 def cluster_sv(spark, folder):
-    return cluster.regular_clusters(_corrected(spark, folder))
+    return cluster.regular_clusters(_places(spark, folder))
 
 
 def cluster_tra(spark, folder):
-    return cluster.translocation_clusters(_corrected(spark, folder))
+    return cluster.translocation_clusters(_places(spark, folder))
 
 
 def cluster_bnd(spark, folder):
-    return cluster.breakend_clusters(_corrected(spark, folder))
+    return cluster.breakend_clusters(_places(spark, folder))
 
 
 def _merged(spark, folder) -> tuple[DataFrame, DataFrame]:
-    events = _corrected(spark, folder)
-    # the passes of clustering read the typed columns several times: written once, without the packed fields
-    places = cut_lineage(events.select("ord", "svtype", "start_chrom", "start_pos", "end_chrom", "end_pos", "length", F.col("bnd_alt").alias("alt")))
+    """Representatives and memberships; of the packed fields only those of the representatives are parsed again."""
+    places = _places(spark, folder, "source_file", "support_n", "qual_n", "caller")
     members = cut_lineage(cluster.clusters(places))
-    return cluster.representatives(events, members), members
+    best = cut_lineage(cluster.best_members(places, members))
+    return corrected_events(table(spark, folder, "svcf_event").join(best, "ord")), members
 
 
 def representative(spark, folder):
@@ -229,7 +238,7 @@ def file_totals(spark, folder):
 
 
 def _sides(spark, folder):
-    events = _corrected(spark, folder)
+    events = _places(spark, folder, "source_file")
     return events.where(F.col("source_file").startswith(TRUTH_CALLER)), events.where(F.col("source_file").startswith(CALL_CALLER))
 
 

@@ -25,8 +25,7 @@ def vcf_rows(events: DataFrame) -> DataFrame:
     end = F.when(F.col("svtype") == "INS", F.col("pos")).otherwise(F.col("end_pos"))
     kept = [F.concat(F.lit(f"{k}="), fields.info_text(info, k)) for k in ("CHR2", "SUPPORT", "SVMETHOD", "STRAND")]
     new = F.concat_ws(";", F.concat(F.lit("SVTYPE="), F.col("svtype")), F.concat(F.lit("END="), _text(end)), F.concat(F.lit("SVLEN="), svlen.cast("string")), *kept)
-    held = fields.settled(dict(zip(("_keys", "_values"), fields.corrected_cells(F.col("sample_raw"), F.col("format_raw")))))
-    events = events.select("*", held)
+    events = fields.with_cells(events)
     sample = lambda k, other: F.coalesce(fields.cell(F.col("_keys"), F.col("_values"), F.lit(k)), F.lit(other))
     ad = sample("AD", ".,.")
     cells = F.concat_ws(":", sample("GT", "./."), ad, fields.depth_sum(ad).cast("string"), sample("LN", "."))
@@ -82,7 +81,7 @@ def _laid_out(members: DataFrame, merged: DataFrame) -> DataFrame:
     Two trailing missing fields are dropped: they are the keys behind one that took the rest of the sample.
     """
     df = members.join(merged.select("cluster_id", F.col("format_raw").alias("_wanted")), "cluster_id")
-    df = df.select("*", fields.settled(dict(zip(("_keys", "_values"), fields.corrected_cells(F.col("sample_raw"), F.col("format_raw"))))))
+    df = fields.with_cells(df)
     cells = F.transform(F.split("_wanted", ":", -1), lambda k: F.coalesce(fields.cell(F.col("_keys"), F.col("_values"), k), F.lit(".")))
     return df.withColumn("s", F.regexp_replace(F.array_join(cells, ":"), r":\.:\.\z", ""))
 

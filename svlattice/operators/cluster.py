@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svlattice.functions import bnd, fields
+from svlattice.operators import greedy
 from svlattice.operators.greedy import folded, with_islands
 
 REGULAR = ("INS", "DEL", "DUP", "INV")
@@ -87,18 +88,18 @@ def _fold_bnd(delta: int):
     return fold
 
 
-def _clustered(events: DataFrame, keys: list[str], same: list[str], axes: tuple, rank: str | None, columns: list[str], fold) -> DataFrame:
+def _clustered(events: DataFrame, keys: list[str], same: list[str], axes: tuple, rank: str | None, columns: list[str], fold, few: bool | None) -> DataFrame:
     """ord, cluster_id of every event: copies collapsed to the first, islands folded, copies joined to their first's leader."""
     by = F.struct(F.col(rank).alias("rank"), F.col("ord")) if rank else F.struct(F.lit(0).cast("long").alias("rank"), F.col("ord"))
     first = events.groupBy(*keys, *same).agg(F.min(by).alias("_f")).select(*keys, *same, "_f.rank", "_f.ord")
-    islands = with_islands(first, keys, *axes)
+    islands = with_islands(first, keys, *axes, few)
     led = folded(islands, keys, ["rank", "ord"], [*columns, "_cell"], fold, "ord long, cluster_id long")
     led = first.join(led, "ord").select(*(F.col(c).alias(f"_l_{c}") for c in (*keys, *same)), "cluster_id")
     on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in (*keys, *same)))
     return events.join(led, on, "left").select("ord", F.coalesce("cluster_id", "ord").alias("cluster_id"))
 
 
-def regular_clusters(events: DataFrame) -> DataFrame:
+def regular_clusters(events: DataFrame, few: bool | None = None) -> DataFrame:
     """ord, cluster_id of insertions, deletions, duplications and inversions."""
     df = events.where(F.col("svtype").isin(*REGULAR)).select("ord", "svtype", "start_chrom", "start_pos", "end_pos", "length")
     width = 2 * fields.by_type(F.col("svtype"), fields.DISTANCES, fields.OTHER_DISTANCE)
@@ -109,10 +110,10 @@ def regular_clusters(events: DataFrame) -> DataFrame:
     alone = (F.col("length") == 0) | F.col("length").isNull() | ((F.col("svtype") == "INS") & (F.col("length") < 0))
     lone = df.where(alone).select("ord", F.col("ord").alias("cluster_id"))  # these match nothing, not even copies
     df = df.where(~alone)
-    return lone.unionByName(_clustered(df, ["svtype", "start_chrom"], ["start_pos", "end_pos", "length"], ((F.col("start_pos"), width), (far, reach)), None, ["ord", "svtype", "start_pos", "end_pos", "length"], _fold_regular))
+    return lone.unionByName(_clustered(df, ["svtype", "start_chrom"], ["start_pos", "end_pos", "length"], ((F.col("start_pos"), width), (far, reach)), None, ["ord", "svtype", "start_pos", "end_pos", "length"], _fold_regular, few))
 
 
-def translocation_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
+def translocation_clusters(events: DataFrame, delta: int = 50, few: bool | None = None) -> DataFrame:
     """ord, cluster_id of translocations; they arrive by the first record of their (start, end) chromosomes, then in order.
 
     Positions are compared as they stand even where the two chromosomes are swapped, unless the directions are reciprocal.
@@ -124,21 +125,23 @@ def translocation_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
         "ord", F.coalesce("bucket", "ord").alias("bucket"), "start_pos", "end_pos", "way", F.least("start_chrom", "end_chrom").alias("c1"), F.greatest("start_chrom", "end_chrom").alias("c2"),
         F.when(F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull(), F.least("start_pos", "end_pos")).alias("low"), F.greatest("start_pos", "end_pos").alias("high"), (F.col("start_chrom") <= F.col("end_chrom")).alias("straight"),
     )
-    return _clustered(df, ["c1", "c2"], ["start_pos", "end_pos", "way", "straight", "low", "high"], ((F.col("low"), 2 * delta), (F.col("high"), 2 * delta)), "bucket", ["ord", "rank", "start_pos", "end_pos", "way"], _fold_tra(2 * delta))
+    return _clustered(df, ["c1", "c2"], ["start_pos", "end_pos", "way", "straight", "low", "high"], ((F.col("low"), 2 * delta), (F.col("high"), 2 * delta)), "bucket", ["ord", "rank", "start_pos", "end_pos", "way"], _fold_tra(2 * delta), few)
 
 
-def breakend_clusters(events: DataFrame, delta: int = 50) -> DataFrame:
+def breakend_clusters(events: DataFrame, delta: int = 50, few: bool | None = None) -> DataFrame:
     """ord, cluster_id of breakends; they arrive by the first record of their chromosome, then in order. Unreadable ALT leads alone."""
     form, target, target_pos = bnd.parsed(F.col("alt"))
     df = events.where(F.col("svtype") == "BND").select("ord", "start_chrom", "start_pos", form.alias("form"), target.alias("target"), target_pos.alias("target_pos"))
     firsts = df.groupBy("start_chrom").agg(F.min("ord").alias("bucket"))
     df = df.join(firsts, "start_chrom", "left").withColumn("bucket", F.coalesce("bucket", "ord"))
-    return _clustered(df, ["start_chrom", "target", "form"], ["start_pos", "target_pos"], ((F.col("start_pos"), delta), (F.col("target_pos"), delta)), "bucket", ["ord", "rank", "start_pos", "target_pos"], _fold_bnd(delta))
+    return _clustered(df, ["start_chrom", "target", "form"], ["start_pos", "target_pos"], ((F.col("start_pos"), delta), (F.col("target_pos"), delta)), "bucket", ["ord", "rank", "start_pos", "target_pos"], _fold_bnd(delta), few)
 
 
 def clusters(events: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFrame:
     """ord, cluster_id (the leader's ord) of all events of the six types."""
-    parts = (regular_clusters(events), translocation_clusters(events, tolerances.tra_delta), breakend_clusters(events, tolerances.bnd_delta))
+    # one count for the three: a pair of chromosomes has the events of two at most
+    few = events.groupBy("svtype", "start_chrom").count().where(F.col("count") > greedy.CROWDED // 2).isEmpty()
+    parts = (regular_clusters(events, few), translocation_clusters(events, tolerances.tra_delta, few), breakend_clusters(events, tolerances.bnd_delta, few))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -31,11 +31,12 @@ CROWDED = 20_000
 NEIGHBOURS = ((0, 1), (1, -1), (1, 0), (1, 1))
 
 
-def with_islands(events: DataFrame, keys: list[str], first: tuple[Column, Column | float], second: tuple[Column, Column | float]) -> DataFrame:
+def with_islands(events: DataFrame, keys: list[str], first: tuple[Column, Column | float], second: tuple[Column, Column | float], few: bool | None = None) -> DataFrame:
     """events + _cell, _island, _part; first and second are (place, width) of the two axes.
 
     Rows with a null key or place are left out (they interact with nothing). _cell is the cell on the first axis. The
-    events are read more than once, so they should be a written or cached table.
+    events are read more than once, so they should be a written or cached table. few: whether the caller knows that no
+    keys have more than `CROWDED` events, so that no island can; else they are counted.
     """
     cell = lambda axis: F.floor(axis[0] / axis[1]).cast("long")
     df = events.withColumns({"_cell": cell(first), "_cell2": cell(second)}).dropna(subset=[*keys, "_cell", "_cell2"])
@@ -44,7 +45,7 @@ def with_islands(events: DataFrame, keys: list[str], first: tuple[Column, Column
     new = F.coalesce(F.col("_cell") - F.lag("_cell").over(order) > 1, F.lit(True))
     cells = cells.withColumn("_island", F.sum(new.cast("long")).over(order))
     crowded = cells.groupBy(*keys, "_island").agg(F.sum("_n").alias("_n")).where(F.col("_n") > CROWDED).select(*keys, "_island")
-    few = df.groupBy(*keys).count().where(F.col("count") > CROWDED).isEmpty()  # no island can be crowded
+    few = df.groupBy(*keys).count().where(F.col("count") > CROWDED).isEmpty() if few is None else few
     df = df.join(cells.drop("_n"), [*keys, "_cell"])
     if few or crowded.isEmpty():
         return df.withColumn("_part", F.lit(0).cast("long")).drop("_cell2")

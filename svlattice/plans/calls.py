@@ -172,7 +172,7 @@ def _merged(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Representatives and memberships; of the packed fields only those of the representatives are parsed again."""
     places = _places(spark, folder, "source_file", "support_n", "qual_n", "caller")
     members = cut_lineage(cluster.clusters(places))
-    best = cut_lineage(cluster.best_members(places, members))
+    best = cluster.best_members(places, members)
     return corrected_events(table(spark, folder, "svcf_event").join(best, "ord")), members
 
 
@@ -330,6 +330,7 @@ def _input_files(spark, folder) -> DataFrame:
 def _merged_rows(spark, folder, make) -> DataFrame:
     events = _corrected(spark, folder)
     merged, members = _merged(spark, folder)
+    merged = cut_lineage(merged)
     files = _input_files(spark, folder)
     samples = cluster.member_samples(events, members)
     keep = sourcesets.touching(merged, samples, files)

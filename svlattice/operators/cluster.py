@@ -137,10 +137,11 @@ def breakend_clusters(events: DataFrame, delta: int = 50, few: bool | None = Non
     return _clustered(df, ["start_chrom", "target", "form"], ["start_pos", "target_pos"], ((F.col("start_pos"), delta), (F.col("target_pos"), delta)), "bucket", ["ord", "rank", "start_pos", "target_pos"], _fold_bnd(delta), few)
 
 
-def clusters(events: DataFrame, tolerances: Tolerances = Tolerances()) -> DataFrame:
-    """ord, cluster_id (the leader's ord) of all events of the six types."""
+def clusters(events: DataFrame, tolerances: Tolerances = Tolerances(), few: bool | None = None) -> DataFrame:
+    """ord, cluster_id (the leader's ord) of all events of the six types; few as of `greedy.with_islands`."""
     # one count for the three: a pair of chromosomes has the events of two at most
-    few = events.groupBy("svtype", "start_chrom").count().where(F.col("count") > greedy.CROWDED // 2).isEmpty()
+    if few is None:
+        few = events.groupBy("svtype", "start_chrom").count().where(F.col("count") > greedy.CROWDED // 2).isEmpty()
     parts = (regular_clusters(events, few), translocation_clusters(events, tolerances.tra_delta, few), breakend_clusters(events, tolerances.bnd_delta, few))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

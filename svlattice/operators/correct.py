@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svlattice.functions import fields
-from svlattice.operators import pairing
+from svlattice.operators import greedy, pairing
 from svlattice.operators.events import caller_events
 from svlattice.operators.filters import Limits, passing
 from svlattice.session import cut_lineage
@@ -75,7 +75,7 @@ def corrected(records: DataFrame, tolerance: int = 3, limits: Limits = Limits(),
     ).drop("kind", "first_ord", "start_pos", "end_pos")
     parts.append(made)
 
-    roles = pairing.breakend_passes(events, tolerance, by)
+    roles = pairing.breakend_passes(events, tolerance, by, few=events.count() <= greedy.CROWDED or None)
     diff = events.where(F.col("route") == "diff")
     side = lambda p: diff.select(F.col("ord").alias(f"{p}_ord"), F.col("sv_id").alias(f"_{p}_id"), F.col("bnd_form").alias(f"_{p}_form"), F.col("chrom").alias(f"_{p}_chrom"))
     paired = roles.where("role <> 'single'").join(side("first"), "first_ord").join(side("second"), "second_ord")

@@ -26,7 +26,7 @@ from svlattice.operators.groups import components
 from svlattice.session import cut_lineage
 
 #: A one-dimensional island of more events than this is divided on both axes. It changes the plan, never the result.
-CROWDED = 20_000
+CROWDED = 100_000
 #: Half of a cell's eight neighbours; the other half meets it from their side.
 NEIGHBOURS = ((0, 1), (1, -1), (1, 0), (1, 1))
 

@@ -91,7 +91,7 @@ def _passes(t: int):
     return fold
 
 
-def breakend_passes(events: DataFrame, tolerance: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+def breakend_passes(events: DataFrame, tolerance: int = 3, by: tuple[str, ...] = (), few: bool | None = None) -> DataFrame:
     """role (mate, special, single), first_ord, second_ord, rank, rank2 of the records with ends on two chromosomes.
 
     A record may be both in a mate pair and left over: the two passes keep equal records differently.
@@ -99,7 +99,7 @@ def breakend_passes(events: DataFrame, tolerance: int = 3, by: tuple[str, ...] =
     df = events.where(F.col("route") == "diff").dropna(subset=["chrom", "pos", "mate_chrom", "mate_pos"])
     df = df.select("ord", *by, "chrom", "pos", "mate_chrom", "mate_pos", F.least("chrom", "mate_chrom").alias("c1"), F.greatest("chrom", "mate_chrom").alias("c2"), F.least("pos", "mate_pos").alias("low"), F.greatest("pos", "mate_pos").alias("high"))
     keys = [*by, "c1", "c2"]
-    islands = with_islands(df, keys, *((F.col(c), max(1, tolerance)) for c in ("low", "high")))
+    islands = with_islands(df, keys, *((F.col(c), max(1, tolerance)) for c in ("low", "high")), few=few)
     return folded(islands, keys, ["ord"], ["ord", "chrom", "pos", "mate_chrom", "mate_pos"], _passes(tolerance), "role string, first_ord long, second_ord long, rank long, rank2 long")
 
 

@@ -84,8 +84,8 @@ def _fold(c: Criteria):
     return fold
 
 
-def matches(truth: DataFrame, calls: DataFrame, criteria: Criteria = Criteria()) -> DataFrame:
-    """call_ord, truth_ord of the matched pairs."""
+def matches(truth: DataFrame, calls: DataFrame, criteria: Criteria = Criteria(), few: bool | None = None) -> DataFrame:
+    """call_ord, truth_ord of the matched pairs; few as of `greedy.with_islands`."""
     both = []
     for side, df in ((0, truth), (1, calls)):
         df = eligible(df, criteria)
@@ -96,7 +96,7 @@ def matches(truth: DataFrame, calls: DataFrame, criteria: Criteria = Criteria())
     ends = F.when(F.col("svtype") == "TRA", F.concat_ws("\t", "svtype", "start_chrom", "end_chrom")).otherwise(F.col("svtype"))
     df = df.withColumn("_type", F.lit("any") if criteria.ignore_type else ends)
     keys = ["_type", "start_chrom"] if criteria.same_chromosome else ["_type"]
-    islands = with_islands(df, keys, *((F.col(c), max(1, criteria.distance)) for c in ("start_pos", "end_pos")))
+    islands = with_islands(df, keys, *((F.col(c), max(1, criteria.distance)) for c in ("start_pos", "end_pos")), few=few)
     columns = ["side", "ord", "svtype", "start_pos", "end_pos", "start_chrom", "end_chrom", "seq", "_cell"]
     return folded(islands, keys, ["side", "ord"], columns, _fold(criteria), "call_ord long, truth_ord long")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from svlattice.functions import bnd, fields
-from svlattice.operators import cluster, correct, filters, pairing, sourcesets, statistics, truth
+from svlattice.operators import cluster, correct, filters, greedy, pairing, sourcesets, statistics, truth
 from svlattice.operators.events import caller_events, corrected_events
 from svlattice.session import cut_lineage, spread, table
 from svlattice.sinks import formats
@@ -89,17 +89,19 @@ def pair_same_chromosome(spark, folder):
 
 
 def breakend_roles(spark, folder):
-    return pairing.breakend_passes(_breakends(_caller(spark, folder)), by=("file_id",)).select("role", "first_ord", "second_ord")
+    return _roles(spark, folder, _caller(spark, folder))
 
 
-def _breakends(events: DataFrame) -> DataFrame:
-    """The places of breakends, which the passes read several times: written once."""
-    return cut_lineage(events.where("route = 'diff'").select("ord", "file_id", "route", "chrom", "pos", "mate_chrom", "mate_pos"))
+def _roles(spark, folder, events: DataFrame) -> DataFrame:
+    """The passes over the places of breakends, written once where islands have to be counted."""
+    few = _few(table(spark, folder, "sv_event"))
+    df = events.where("route = 'diff'").select("ord", "file_id", "route", "chrom", "pos", "mate_chrom", "mate_pos")
+    return pairing.breakend_passes(df if few else cut_lineage(df), by=("file_id",), few=few).select("role", "first_ord", "second_ord")
 
 
 def breakend_roles_filtered(spark, folder):
     """As breakend_roles, of the records that pass the limits: the filter comes before the pairing."""
-    return pairing.breakend_passes(_breakends(filters.passing(_caller(spark, folder), LIMITS)), by=("file_id",)).select("role", "first_ord", "second_ord")
+    return _roles(spark, folder, filters.passing(_caller(spark, folder), LIMITS))
 
 
 def dropped_breakends(spark, folder):
@@ -151,27 +153,40 @@ def corrected_lines(spark, folder):
     return correct.serialised(df.join(files, "file_id", "left"), F.col("file_name")).select("file_id", "branch", "rank", "rank2", "rank3", "line")
 
 
-def _places(spark, folder, *more: str) -> DataFrame:
-    """The typed columns that clustering and matching read several times: written once, without the packed fields."""
-    return cut_lineage(_corrected(spark, folder).select("ord", "svtype", "start_chrom", "start_pos", "end_chrom", "end_pos", "length", F.col("bnd_alt").alias("alt"), *more))
+def _few(records: DataFrame) -> bool | None:
+    """True where the whole table, whose files know their number of rows, is too small for a crowded island."""
+    return records.count() <= greedy.CROWDED or None
+
+
+def _places(spark, folder, *more: str, written: bool = False) -> tuple[DataFrame, bool | None]:
+    """The typed columns of clustering and matching, without the packed fields, and whether they are few.
+
+    Written once where they are read several times, as they are if islands have to be counted.
+    """
+    few = _few(table(spark, folder, "svcf_event"))
+    df = _corrected(spark, folder).select("ord", "svtype", "start_chrom", "start_pos", "end_chrom", "end_pos", "length", F.col("bnd_alt").alias("alt"), *more)
+    return (cut_lineage(df) if written or not few else df), few
 
 
 def cluster_sv(spark, folder):
-    return cluster.regular_clusters(_places(spark, folder))
+    events, few = _places(spark, folder)
+    return cluster.regular_clusters(events, few=few)
 
 
 def cluster_tra(spark, folder):
-    return cluster.translocation_clusters(_places(spark, folder))
+    events, few = _places(spark, folder)
+    return cluster.translocation_clusters(events, few=few)
 
 
 def cluster_bnd(spark, folder):
-    return cluster.breakend_clusters(_places(spark, folder))
+    events, few = _places(spark, folder)
+    return cluster.breakend_clusters(events, few=few)
 
 
 def _merged(spark, folder) -> tuple[DataFrame, DataFrame]:
     """Representatives and memberships; of the packed fields only those of the representatives are parsed again."""
-    places = _places(spark, folder, "source_file", "support_n", "qual_n", "caller")
-    members = cut_lineage(cluster.clusters(places))
+    places, few = _places(spark, folder, "source_file", "support_n", "qual_n", "caller", written=True)
+    members = cut_lineage(cluster.clusters(places, few=few))
     best = cluster.best_members(places, members)
     return corrected_events(table(spark, folder, "svcf_event").join(best, "ord")), members
 
@@ -237,9 +252,9 @@ def file_totals(spark, folder):
     return sourcesets.file_totals(_merged(spark, folder)[0], table(spark, folder, "call_file").select(F.col("svcf_name").alias("file")))
 
 
-def _sides(spark, folder):
-    events = _places(spark, folder, "source_file")
-    return events.where(F.col("source_file").startswith(TRUTH_CALLER)), events.where(F.col("source_file").startswith(CALL_CALLER))
+def _sides(spark, folder) -> tuple[DataFrame, DataFrame, bool | None]:
+    events, few = _places(spark, folder, "source_file")
+    return events.where(F.col("source_file").startswith(TRUTH_CALLER)), events.where(F.col("source_file").startswith(CALL_CALLER)), few
 
 
 def bench_eligible(spark, folder):
@@ -247,18 +262,19 @@ def bench_eligible(spark, folder):
 
 
 def bench_matches(spark, folder):
-    return truth.matches(*_sides(spark, folder), CRITERIA)
+    t, c, few = _sides(spark, folder)
+    return truth.matches(t, c, CRITERIA, few)
 
 
 def bench_metrics(spark, folder):
-    t, c = _sides(spark, folder)
-    return truth.metrics(t, c, truth.matches(t, c, CRITERIA), CRITERIA)
+    t, c, few = _sides(spark, folder)
+    return truth.metrics(t, c, truth.matches(t, c, CRITERIA, few), CRITERIA)
 
 
 def reciprocal_overlaps(spark, folder):
     """Of every matched pair the smaller share of overlap."""
-    t, c = _sides(spark, folder)
-    p = truth.matches(t, c, CRITERIA).where("truth_ord is not null")
+    t, c, few = _sides(spark, folder)
+    p = truth.matches(t, c, CRITERIA, few).where("truth_ord is not null")
     side = lambda df, n: df.select(F.col("ord").alias(f"{n}_ord"), F.col("start_pos").alias(f"{n}_s"), F.col("end_pos").alias(f"{n}_e"))
     df = p.join(side(t, "truth"), "truth_ord").join(side(c, "call"), "call_ord")
     return df.select("call_ord", "truth_ord", fields.reciprocal_overlap(F.col("truth_s"), F.col("truth_e"), F.col("call_s"), F.col("call_e")).alias("overlap"))
